@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontam
+from . import decontam, licenses
 
 QUERIES = {
     "op1_decontamination": decontam.op1_decontamination,
+    "op2_licenses": licenses.op2_licenses,
 }
 ORACLES = {
     "op1_decontamination": decontam.ORACLE,
+    "op2_licenses": licenses.ORACLE,
 }
