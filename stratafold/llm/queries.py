@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontam, licenses
+from . import decontam, langid, licenses, toxicity
 
 QUERIES = {
     "op1_decontamination": decontam.op1_decontamination,
     "op2_licenses": licenses.op2_licenses,
+    "op3_language": langid.op3_language,
+    "op7_toxicity": toxicity.op7_toxicity,
 }
 ORACLES = {
     "op1_decontamination": decontam.ORACLE,
