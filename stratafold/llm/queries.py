@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, licenses, toxicity
+from . import decontam, langid, licenses, packing, topk, toxicity
 
 QUERIES = {
     "op1_decontamination": decontam.op1_decontamination,
     "op2_licenses": licenses.op2_licenses,
     "op3_language": langid.op3_language,
+    "op4_topk": topk.op4_topk,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op8_packing": packing.op8_packing,
 }
 ORACLES = {
     "op1_decontamination": decontam.ORACLE,
     "op2_licenses": licenses.ORACLE,
+    "op4_topk": topk.ORACLE,
 }
