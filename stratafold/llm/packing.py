@@ -156,7 +156,10 @@ class Plan:
                         del ends[state]
                         states[slot[state]] = -1
                 else:
-                    state, first, m = (caps[0], caps[1] if binding[1] else 0, caps[2] if binding[2] else 0), bins, left
+                    # As many new sequences as these pieces need; the next turns fill them up.
+                    state = caps[0], caps[1] if binding[1] else 0, caps[2] if binding[2] else 0
+                    each = min(c // x for c, x in zip(state, size.tolist(), strict=True) if x)
+                    first, m = bins, -(-left // each)
                     bins += m
                 rows.append((n, rank, first, capacity - state[0]))
                 after = tuple(int(x) for x in np.array(state) - size)

@@ -160,10 +160,10 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = """
-WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
-           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 q AS (SELECT vec_id AS query_id, min(v) AS v FROM v WHERE vec_id % 100 = 0 GROUP BY vec_id),
-s AS (SELECT query_id, vec_id, coalesce(list_sum(list_transform(list_zip(q.v, v.v), x -> x[1] * x[2])), 0)::BIGINT AS score
+s AS (SELECT query_id, vec_id, coalesce(list_sum(list_transform(list_zip(q.v, v.v), lambda x: x[1] * x[2])), 0)::BIGINT AS score
       FROM q JOIN v ON vec_id <> query_id AND len(q.v) = len(v.v))
 SELECT query_id, rank, vec_id, score FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank FROM s) WHERE rank <= 10
 """
