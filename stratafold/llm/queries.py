@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, licenses, packing, topk, toxicity
+from . import decontam, langid, licenses, neardup, packing, topk, toxicity
 
 QUERIES = {
     "op1_decontamination": decontam.op1_decontamination,
     "op2_licenses": licenses.op2_licenses,
     "op3_language": langid.op3_language,
     "op4_topk": topk.op4_topk,
+    "op5_neardup": neardup.op5_neardup,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_packing": packing.op8_packing,
 }
@@ -16,4 +17,5 @@ ORACLES = {
     "op1_decontamination": decontam.ORACLE,
     "op2_licenses": licenses.ORACLE,
     "op4_topk": topk.ORACLE,
+    "op5_neardup": neardup.ORACLE,
 }
