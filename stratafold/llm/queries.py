@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, licenses, neardup, packing, topk, toxicity
+from . import decontam, langid, licenses, lm, neardup, packing, topk, toxicity
 
 QUERIES = {
     "op1_decontamination": decontam.op1_decontamination,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_neardup": neardup.op5_neardup,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_packing": packing.op8_packing,
+    "op10_lm": lm.op10_lm,
 }
 ORACLES = {
     "op1_decontamination": decontam.ORACLE,
