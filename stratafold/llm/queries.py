@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, licenses, lm, neardup, packing, topk, toxicity
+from . import decontam, langid, licenses, lm, neardup, packing, topk, toxicity, warc
 
 QUERIES = {
     "op1_decontamination": decontam.op1_decontamination,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_neardup": neardup.op5_neardup,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_packing": packing.op8_packing,
+    "op9_warc": warc.op9_warc,
     "op10_lm": lm.op10_lm,
 }
 ORACLES = {
@@ -19,4 +20,5 @@ ORACLES = {
     "op2_licenses": licenses.ORACLE,
     "op4_topk": topk.ORACLE,
     "op5_neardup": neardup.ORACLE,
+    "op9_warc": warc.ORACLE,
 }
