@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, licenses, lm, neardup, packing, topk, toxicity, warc
+from . import decontam, extract, langid, licenses, lm, neardup, packing, topk, toxicity, warc
 
 QUERIES = {
     "op1_decontamination": decontam.op1_decontamination,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_language": langid.op3_language,
     "op4_topk": topk.op4_topk,
     "op5_neardup": neardup.op5_neardup,
+    "op6_extract": extract.op6_extract,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_packing": packing.op8_packing,
     "op9_warc": warc.op9_warc,
