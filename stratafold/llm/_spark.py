@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -72,3 +73,13 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
 def input_bytes(df: DataFrame) -> int:
     """The optimiser's estimate of the size of `df`; from file sizes for tables that are read from files."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def kept(docs: DataFrame, run: Callable[..., DataFrame], keep: Column, **columns: str) -> DataFrame:
+    """The rows of `docs` for which `keep` holds after run(docs, **columns), with the columns of `docs` and no others.
+
+    run() sees columns under names of our own, so those it adds clash with none.
+    """
+    inner = docs.toDF(*(f"_in{i}" for i in range(len(docs.columns))))
+    names = {k: inner.columns[docs.columns.index(c)] for k, c in columns.items()}
+    return run(inner, **names).filter(keep).select(*inner.columns).toDF(*docs.columns)

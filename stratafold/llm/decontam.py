@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import texts_of
+from ._spark import kept, texts_of
 from ._text import ALNUM, Words, gram_hashes, groups
 
 WINDOW = 13
@@ -158,9 +158,10 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int)
 def find_overlaps(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents with all their columns, and n_words, spans (of hit words) and item_ids (as strings, sorted).
 
-    `docs` must not have columns of those names.
+    Columns of those names in `docs` are replaced.
     """
     spark: SparkSession = docs.sparkSession
+    docs = docs.drop("n_words", "spans", "item_ids")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     out = docs
     for k, block in enumerate(item_blocks(items, item_id, item_text, block_bytes)):
@@ -172,7 +173,7 @@ def find_overlaps(docs: DataFrame, items: DataFrame, *, text_col: str = "text",
 def _scan(index, text_col: str, again: bool):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = batch.select([c for c in batch.schema.names if not again or c not in ("n_words", "spans", "item_ids")])
+            others = batch.select([c for c in batch.schema.names if not again or c not in ("n_words", "spans", "item_ids")])
             texts = texts_of(batch.column(text_col))
             before = zip(batch.column("spans").to_pylist(), batch.column("item_ids").to_pylist(), strict=True) if again else iter(())
             n_words, spans, items = [], [], []
@@ -185,8 +186,8 @@ def _scan(index, text_col: str, again: bool):
                     spans.append([{"start": x, "end": y} for x, y in s])
                     items.append(i)
             yield pa.RecordBatch.from_arrays(
-                [*kept.columns, pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(items, pa.list_(pa.string()))],
-                names=[*kept.schema.names, "n_words", "spans", "item_ids"],
+                [*others.columns, pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(items, pa.list_(pa.string()))],
+                names=[*others.schema.names, "n_words", "spans", "item_ids"],
             )
 
     return scan
@@ -206,9 +207,9 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(find_overlaps(docs, bench)).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+def drop_contaminated(docs: DataFrame, items: DataFrame, *, text_col: str = "text") -> DataFrame:
     """The documents that are not contaminated, with their columns."""
-    return report(find_overlaps(docs, items)).filter(~F.col("contaminated")).select(*docs.columns)
+    return kept(docs, lambda d, text_col: report(find_overlaps(d, items, text_col=text_col)), ~F.col("contaminated"), text_col=text_col)
 
 
 ORACLE = r"""

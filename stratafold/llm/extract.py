@@ -234,7 +234,8 @@ def vote(pages: DataFrame, host_col: str, html_col: str) -> DataFrame:
 
 
 def extract(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """The pages with all their columns but the html, and main_text."""
+    """The pages with all their columns but the html, and main_text, in place of a column of that name."""
+    pages = pages.drop("main_text")
     hosted = pages.withColumn("_host", host(F.col(url_col)))
     winners = stored(vote(hosted, "_host", html_col), "winners").withColumnRenamed("host", "_host").withColumnRenamed("path", "_path")
     if winners.count() <= BROADCAST_ROWS:

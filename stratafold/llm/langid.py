@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import fold, texts_of
+from ._spark import fold, kept, texts_of
 from ._text import groups
 
 FEATURES = 1 << 13
@@ -140,8 +140,8 @@ def training_rows(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str,
 
 
 def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, longest: int = LONGEST) -> DataFrame:
-    """The documents with all their columns and lang_pred, lang_score and lang_rejected."""
-    spark = docs.sparkSession
+    """The documents with all their columns and lang_pred, lang_score and lang_rejected, in place of columns of those names."""
+    spark, docs = docs.sparkSession, docs.drop("lang_pred", "lang_score", "lang_rejected")
     model = spark.sparkContext.broadcast(fit(training_rows(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, per_language=per_language, longest=longest)))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,6 +166,6 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))
 
 
-def drop_unknown(docs: DataFrame) -> DataFrame:
+def drop_unknown(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The documents whose language is recognised, with their columns."""
-    return identify(docs).filter(~F.col("lang_rejected")).select(*docs.columns)
+    return kept(docs, identify, ~F.col("lang_rejected"), id_col=id_col, text_col=text_col, lang_col=lang_col)

@@ -112,7 +112,7 @@ def similar(block: Column, t: Template) -> Column:
 def scan_licenses(docs: DataFrame, *, text_col: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """The documents with all their columns and `matches`: an array of (block, label, containment), blocks from 0.
 
-    `docs` must not have a column of that name.
+    A column of that name in `docs` is replaced.
     """
     ordered, vocabulary = order_templates(docs, text_col, templates, threshold)
     text = F.coalesce(F.col(text_col), F.lit(""))

@@ -270,12 +270,12 @@ def _token_counts(docs: DataFrame, text_col: str, tables: DataFrame, ranges: int
 
 
 def score_texts(docs: DataFrame, *, text_col: str = "text", train: Column | None = None, strength: float = STRENGTH, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """The documents with all their columns and n_tokens, n_known, train_tokens, base_score and lm_score.
-
-    `train` picks the rows to learn from; all of them if it is None.
+    """The documents with all their columns and n_tokens, n_known, train_tokens, base_score and lm_score, in place of columns of
+    those names.  `train` picks the rows to learn from; all of them if it is None.
     """
-    spark = docs.sparkSession
-    sc = spark.sparkContext
+    added = ("n_tokens", "n_known", "train_tokens", "base_score", "lm_score")
+    docs = docs.drop(*added)
+    sc = docs.sparkSession.sparkContext
     size = input_bytes(docs)
     if size > 1 << 50:  # the optimiser doesn't know
         size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
@@ -320,7 +320,7 @@ def score_texts(docs: DataFrame, *, text_col: str = "text", train: Column | None
                     o.append(x)
             numbers = [np.concatenate(o) if o else np.empty(0) for o in out]
             extra = [pa.array(numbers[0], pa.int64()), pa.array(numbers[1], pa.int64()), pa.array(np.full(len(texts), n), pa.int64()), pa.array(numbers[2], pa.float64()), pa.array(numbers[3], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *extra], names=[*keep, "n_tokens", "n_known", "train_tokens", "base_score", "lm_score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *extra], names=[*keep, *added])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return source.mapInArrow(scan, f"{schema}, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, lm_score double")

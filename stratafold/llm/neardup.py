@@ -272,11 +272,19 @@ def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The documents but for those that are not the first of their component, with their columns."""
-    # A text without words is in no component and stays.
-    gone = stored(near_duplicates(docs).filter("not kept").select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each component, the one with the smallest id, with the columns of `docs`; of repeated rows, one."""
+    inner = docs.toDF(*(f"_in{i}" for i in range(len(docs.columns))))
+    key, text = (inner.columns[docs.columns.index(c)] for c in (id_col, text_col))
+    marks = stored(near_duplicates(inner, id_col=key, text_col=text).filter(F.col(key).isNotNull()), "marks")
+    gone = marks.filter("not kept").select(F.col(key).alias("_gone")).distinct()
+    out = inner.join(gone, F.col(key) == F.col("_gone"), "left_anti")
+    again = marks.filter("kept").groupBy(F.col(key).alias("_again")).agg(F.count("*").alias("c")).filter("c > 1").select("_again")
+    if not again.isEmpty():
+        again = stored(again, "again")
+        twice = out.join(again, F.col(key) == F.col("_again"), "left_semi").dropDuplicates([key, text])
+        out = out.join(again, F.col(key) == F.col("_again"), "left_anti").unionAll(twice)
+    return out.toDF(*docs.columns)
 
 
 ORACLE = r"""

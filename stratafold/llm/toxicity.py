@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import fold, texts_of
+from ._spark import fold, kept, texts_of
 from ._text import ALNUM, Words, groups
 
 WORD_ROWS, GRAM_ROWS = 1 << 13, 1 << 14
@@ -318,10 +318,11 @@ def _adam_rows(p, key: str, rows: np.ndarray, dx: np.ndarray, m, v, rate: float,
     p[key][used] -= rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-6)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, positives: int, negatives: int, longest: int) -> list[tuple[int, bytes]]:
+def training_rows(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_id: str, positives: int, negatives: int, longest: int) -> list[tuple[int, bytes]]:
     """About as many rows of each class, the same ones however the tables are laid out."""
-    marks = labels.filter(F.col("toxic").isNotNull() & F.col(id_col).isNotNull() & (fold(F.col(id_col)) != 0))
-    marks = marks.groupBy(F.col(id_col).alias("_id")).agg(F.max("toxic").cast("int").alias("y"), F.pmod(F.xxhash64(F.first(id_col)), F.lit(1 << 30)).alias("h"))
+    marks = labels.filter(F.col("toxic").isNotNull() & F.col(label_id).isNotNull() & (fold(F.col(label_id)) != 0))
+    marks = marks.groupBy(F.col(label_id).alias("_id")).agg(F.max("toxic").cast("int").alias("y"))
+    marks = marks.withColumn("h", F.pmod(F.xxhash64("_id"), F.lit(1 << 30)))
     counts = {r.y: r["count"] for r in marks.groupBy("y").count().collect()}
     share = F.when(F.col("y") == 1, F.lit(min(1 << 30, -(-(1 << 30) * positives // max(1, counts.get(1, 0)))))).otherwise(F.lit(min(1 << 30, -(-(1 << 30) * negatives // max(1, counts.get(0, 0))))))
     picked = marks.filter(F.col("h") < share)
@@ -331,9 +332,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col:
     return [(y, t) for _, y, t in sorted((r.h, r.y, r.text.encode()) for r in got)]
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", positives: int = POSITIVES, negatives: int = NEGATIVES, longest: int = LONGEST) -> DataFrame:
-    """The documents with all their columns and `toxicity`."""
-    scorer = docs.sparkSession.sparkContext.broadcast(train(training_rows(docs, labels, id_col=id_col, text_col=text_col, positives=positives, negatives=negatives, longest=longest)))
+def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", positives: int = POSITIVES, negatives: int = NEGATIVES, longest: int = LONGEST) -> DataFrame:
+    """The documents with all their columns and `toxicity`, in place of a column of that name."""
+    docs = docs.drop("toxicity")
+    scorer = docs.sparkSession.sparkContext.broadcast(train(training_rows(docs, labels, id_col=id_col, text_col=text_col, label_id=label_id, positives=positives, negatives=negatives, longest=longest)))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -354,6 +356,6 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that don't score as toxic, with their columns."""
-    return score_toxicity(docs, labels).filter(F.col("toxicity") < 0.5).select(*docs.columns)
+    return kept(docs, lambda d, **columns: score_toxicity(d, labels, **columns), F.col("toxicity") < 0.5, id_col=id_col, text_col=text_col)
