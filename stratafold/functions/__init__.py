@@ -1 +1 @@
-
+"""Column functions that Spark has no built-in for."""
