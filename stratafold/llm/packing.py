@@ -21,10 +21,10 @@ from __future__ import annotations
 
 import re
 import zlib
-from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -53,30 +53,56 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.end = end_id.to_bytes(4, "little")
+        # Every word's last token, and no other, carries the mark of a word's end.
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _learn(self, words: list[str]) -> None:
+        """Encode words in strings of many, and cut their ids at the ends of words."""
+        for k in range(0, len(words), 1000):
+            part = words[k : k + 1000]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+            if len(ends) != len(part):
+                self.kept.update((w, self.whole(w)) for w in part)
+                continue
+            data = ids.tobytes()
+            self.kept.update(zip(part, (data[a:b] for a, b in zip([0, *ends], ends)), strict=True))
+
     def __call__(self, texts: list[bytes | None]) -> Iterator[bytes]:
         cut: list[list[str] | str] = []
         for t in texts:
             text = (t or b"").decode("utf-8", "replace")
-            if (text.isascii() or max(text) < "Ā") and not any(s in text for s in self.special):
-                cut.append(_CUT.findall(text.lower()))
+            cut.append(_CUT.findall(text.lower()) if _is_latin1(text) and not any(s in text for s in self.special) else text)
+        seen = set(chain.from_iterable(c for c in cut if isinstance(c, list)))
+        if len(self.kept) > KEPT:  # words of the last while stay at hand
+            self.kept, self.older = {}, self.kept
+        new = []
+        for w in seen - self.kept.keys():
+            if w in self.older:
+                self.kept[w] = self.older[w]
             else:
-                cut.append(text)
-        new = list({w for words in cut if isinstance(words, list) for w in words} - self.kept.keys())
-        if len(self.kept) + len(new) > KEPT:
-            self.kept.clear()
-            new = list({w for words in cut if isinstance(words, list) for w in words})
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.kept[w] = array("I", e.ids).tobytes()
+                new.append(w)
+        self._learn(new)
         get = self.kept.__getitem__
         for words in cut:
             yield (b"".join(map(get, words)) if isinstance(words, list) else self.whole(words)) + self.end
 
 
+def _is_latin1(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 @cache
 def _encoder(path: str, end_id: int) -> Encoder:
     return Encoder(path, end_id)
@@ -204,5 +230,6 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame) -> DataFrame:
-    out = pack(pieces(docs))
+    """The digest of packing `docs`, which have doc_id and text."""
+    out = pack(pieces(docs.select("doc_id", "text")))
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
