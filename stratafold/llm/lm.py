@@ -147,7 +147,7 @@ def count_grams(docs: DataFrame, text_col: str, ranges: int, max_bytes: int) ->
         return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([r], pa.int32()), pa.array([len(k0)], pa.int64()), pa.array([int(c0.sum())], pa.int64()), *(pa.array([x], pa.binary()) for x in data)], names=["kind", "range", "distinct", "total", "keys", "counts"])
 
     parts = docs.select(text_col).mapInArrow(part, "kind int, range int, keys binary, counts binary")
-    parts = parts.repartition("kind", "range").sortWithinPartitions("kind", "range")
+    parts = parts.repartition(ranges, "kind", "range").sortWithinPartitions("kind", "range")
     return parts.mapInArrow(total, "kind int, range int, distinct bigint, total bigint, keys binary, counts binary")
 
 
