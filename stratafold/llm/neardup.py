@@ -6,14 +6,15 @@
 3. Within a bucket, edges go from one hub to the other members only, so a bucket of m members has m - 1 candidates.  The hub
    is the member that meets most others over all buckets: in a group of edited copies that is the original or close to it.
 4. Candidates are confirmed on the full sets; confirmed links are closed to components.
-5. A star alone would lose links between members that miss the hub.  So buckets that still hold several components, their hubs left out, get
-   further stars, with more hubs each round, until no untested pair of different components is left in any bucket.  Pairs that cannot
-   reach the threshold are ruled out by sizes first: of n shingles, the u that stand in no other open node cannot be common, so a
-   partner has at most (n - u) / t - u shingles.  This drops the edited copies that are far from everything without pairing them.
+5. A star alone would lose links between members that miss the hub.  So the members of buckets that still hold several components, their hubs left
+   out, are joined exactly: shingles are ordered by how many of these texts have them, and only pairs of different components that share a
+   shingle early enough in both orders (prefix, positional and size filters) are confirmed.  Copies that are edited too far from everything have
+   shingles of their own first in order, and so are ruled out without being paired.
 
 A pair at similarity 0.8 misses all of 32 bands of 4 bins with probability 5e-8, one at 0.9 with 1e-15.  Nothing is capped.  Groups of copies are
 aggregated on the map side, hubs' members are dealt out by salted keys, and joins on bucket and component keys read stored tables, so that adaptive
-execution can split hot keys.  Sets of full shingles are built for texts in shared buckets only, picked by a bit array of fixed size.
+execution can split hot keys.  Shared buckets, and the texts in
+them whose full sets are built, are picked by bit arrays of fixed size before anything is shuffled by them.
 
 Edge cases: a text without words, or null, has no shingles and links with nothing; fewer words than a shingle make one shingle; rows with a null id
 link with nothing and are kept, with a null component; nodes are texts, so rows that repeat an id with another text are told apart, and
@@ -27,7 +28,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._spark import drop, stored, texts_of
@@ -39,7 +40,7 @@ BINS = BANDS * ROWS
 #: Bits of the array that picks texts in shared buckets; more texts than it can tell apart only cost time.
 BITS = 1 << 24
 #: Shingles of the members that are held against a copy of their hub in one task.
-DEALT = 1 << 17
+DEALT = 1 << 15
 _U = np.uint64
 
 
@@ -104,60 +105,85 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFram
     return rows.mapInArrow(scan, "id bigint, n bigint, node bigint, key2 bigint, bands array<bigint>")
 
 
-def _full_sets(docs: DataFrame, text_col: str, k: int, wanted: np.ndarray) -> DataFrame:
-    """node and s, its shingles, for the nodes marked in `wanted` (and a few more); a node can come from several tasks."""
+def _full_sets(docs: DataFrame, id_col: str, text_col: str, k: int, wanted: np.ndarray) -> DataFrame:
+    """node and s, its shingles, for the texts whose id is marked in `wanted` (and a few more)."""
     bits = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # copies give their set once a task
+        seen: set[int] = set()  # rows that are repeated give their set once a task
         for batch in batches:
-            texts = texts_of(batch.column(0))
-            node, sets = [], []
+            marked = np.flatnonzero(_is_marked(bits.value, batch.column(0).to_numpy()))
+            texts = texts_of(batch.column(1).take(pa.array(marked)))
             for a, b in groups(texts):
+                node, sets = [], []
                 for s in shingle_sets(texts[a:b], k):
                     key = set_key(s)[0]
-                    p = key % BITS
-                    if len(s) and key not in seen and bits.value[p >> 3] >> (p & 7) & 1:
+                    if len(s) and key not in seen:
                         seen.add(key)
                         node.append(key)
                         sets.append(s.astype(np.int64))
-            if node:
-                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "s"])
+                if node:
+                    yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "s"])
 
-    return docs.select(text_col).mapInArrow(scan, "node bigint, s array<bigint>")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL")
+    return rows.mapInArrow(scan, "node bigint, s array<bigint>")
 
 
-def _marked(nodes: DataFrame) -> np.ndarray:
-    """A bit array with a bit for each node. BITS / 32 rows come to the driver at most."""
-    p = F.pmod("node", F.lit(BITS))
-    words = nodes.groupBy(F.shiftright(p, 5).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(node, {BITS}) & 31 as int))")).alias("b"))
+def _once(sets: DataFrame) -> DataFrame:
+    """Stored sets with one row for each node. Few come from several tasks, and only those are shuffled."""
+    again = stored(sets.groupBy("node").agg(F.count("*").alias("c")).filter("c > 1").select("node"), "again")
+    if again.isEmpty():
+        return sets
+    twice = sets.join(again, "node", "left_semi").groupBy("node").agg(F.first("s").alias("s"))
+    return stored(sets.join(again, "node", "left_anti").unionAll(twice), "sets")
+
+
+def _marked(keys: DataFrame) -> np.ndarray:
+    """A bit array with a bit for each value of `key`. BITS / 32 rows come to the driver at most."""
+    words = keys.groupBy(F.expr(f"shiftright(key & {BITS - 1}, 5)").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(key & 31 as int))")).alias("b"))
     out = np.zeros(BITS // 32, np.uint32)
     got = np.array([tuple(r) for r in words.collect()], np.int64).reshape(-1, 2)
     out[got[:, 0]] = got[:, 1].astype(np.uint32)
     return out.view(np.uint8)
 
 
+def _is_marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    p = keys & (BITS - 1)
+    return (bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
+
+
+def _in_bands(nodes: DataFrame, wanted: np.ndarray) -> DataFrame:
+    """band, node and n, for the bands marked in `wanted` (and a few more)."""
+    bits = nodes.sparkSession.sparkContext.broadcast(wanted)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = batch.column(2).flatten().to_numpy()
+            at = np.flatnonzero(_is_marked(bits.value, flat))
+            row = pa.array(at // BANDS)
+            yield pa.RecordBatch.from_arrays([pa.array(flat[at]), batch.column(0).take(row), batch.column(1).take(row)], names=["band", "node", "n"])
+
+    return nodes.select("node", "n", "bands").mapInArrow(scan, "band bigint, node bigint, n bigint")
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of pairs (hub, node, n) whose sets reach the similarity. Members are dealt out under salted copies of their hub."""
-    load = pairs.groupBy("hub").agg(F.ceil(F.sum("n") / DEALT).cast("int").alias("copies"))
-    load = stored(load, "load")
-    dealt = pairs.join(load, "hub").select("hub", "node", F.pmod(F.xxhash64("node"), F.col("copies")).cast("int").alias("salt"))
-    dealt = stored(dealt, "dealt")
-    hubs = dealt.select("hub", "salt").distinct()
-    members = dealt.join(sets, "node").select("hub", "salt", "node", "s")
-    centres = hubs.join(sets.withColumnRenamed("node", "hub"), "hub").select("hub", "salt", F.lit(None).cast("bigint").alias("node"), "s")
-    rows = centres.unionAll(members).repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.col("node").asc_nulls_first())
+    load = stored(pairs.groupBy("hub").agg(F.ceil(F.sum("n") / DEALT).cast("int").alias("copies")), "load")
+    copies = load.select(F.col("hub").alias("node"), "hub", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), F.lit(0).alias("role"))
+    dealt = pairs.join(load, "hub").select("node", "hub", F.pmod(F.xxhash64("node"), F.col("copies")).cast("int").alias("salt"), F.lit(1).alias("role"))
+    needed = stored(copies.unionAll(dealt), "needed")
+    rows = needed.join(sets.hint("merge"), "node").repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role").select("hub", "salt", "role", "node", "s")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub_set, key = None, None
         for batch in batches:
-            hubs_, salts, nodes = (batch.column(c).to_pylist() for c in ("hub", "salt", "node"))
+            hubs, salts, roles, nodes = (batch.column(c).to_pylist() for c in ("hub", "salt", "role", "node"))
             lists = batch.column("s")
             flat, at = lists.values.to_numpy(), lists.offsets.to_numpy()
             out = []
-            for i, (h, salt, node) in enumerate(zip(hubs_, salts, nodes, strict=True)):
+            for i, (h, salt, role, node) in enumerate(zip(hubs, salts, roles, nodes, strict=True)):
                 s = flat[at[i] : at[i + 1]].view(np.uint64)
-                if node is None:
+                if role == 0:
                     hub_set, key = s.copy(), (h, salt)
                 elif key == (h, salt):
                     where = np.minimum(np.searchsorted(hub_set, s), len(hub_set) - 1)
@@ -193,10 +219,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rows = stored(_signatures(docs, id_col, text_col, shingle), "rows")
     real = rows.filter((F.col("n") > 0) & F.col("id").isNotNull())
     nodes = stored(real.groupBy("node", "key2", "n").agg(F.min("id").alias("id"), F.first("bands").alias("bands")), "nodes")
-    in_band = nodes.select("node", "n", F.explode("bands").alias("band"))
-    shared = stored(in_band.groupBy("band").agg(F.count("*").alias("c")).filter("c > 1"), "shared")
-    members = stored(in_band.join(shared, "band"), "members")
-    edges = _links(docs, members, text_col, shingle, percent)
+    bands = nodes.select(F.explode("bands").alias("band"))
+    shared = stored(bands.groupBy("band").agg(F.count("*").alias("c")).filter("c > 1"), "shared")
+    # Bands of one node alone are most of them; those that the bit array knows for such aren't shuffled again.
+    members = stored(_in_bands(nodes, _marked(shared.select(F.col("band").alias("key")))).join(shared, "band"), "members")
+    edges = _links(docs, nodes, members, id_col, text_col, shingle, percent)
     if edges is None:
         smallest = nodes.select("node", "key2", "n", F.col("id").alias("component_id"))
     else:
@@ -210,62 +237,75 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return linked.unionAll(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
 
 
-def _links(docs: DataFrame, members: DataFrame, text_col: str, shingle: int, percent: int) -> DataFrame | None:
+def _links(docs: DataFrame, nodes: DataFrame, members: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame | None:
     """Confirmed links (a, b), enough to connect all that is linked; None if there are none."""
     if members.isEmpty():
         return None
-    sets = stored(_full_sets(docs, text_col, shingle, _marked(members.select("node").distinct())), "texts")
-    sets = stored(sets.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("s").alias("s")), "sets")
+    first = nodes.join(members.select("node").distinct(), "node", "left_semi").select(F.col("id").alias("key"))
+    sets = _once(stored(_full_sets(docs, id_col, text_col, shingle, _marked(first)), "sets"))
+    # Stars: in each bucket, from the member with most company to the others.
     degree = stored(members.groupBy("node").agg(F.sum("c").alias("weight")), "degree")
-    open_ = stored(members.join(degree, "node").select("band", "node", "n", "weight", F.lit(0).cast("bigint").alias("u")), "open")
-    edges: DataFrame | None = None
-    tested: DataFrame | None = None
-    found: DataFrame | None = None
-    stars = 1
-    while True:
-        # A hub in each bucket (and salt), its stars, and the pairs of them that are new and can be similar.
-        salt = F.pmod(F.xxhash64("node", "band"), F.lit(stars))
-        by = F.struct("weight", F.xxhash64("node"), "node", "n", "u", *(["comp"] if stars > 1 else []))
-        hubs = stored(open_.groupBy("band", salt.alias("salt")).agg(F.max(by).alias("h")).select("band", "h"), "hubs")
-        fits = (F.col("n") * percent <= (F.col("h.n") - F.col("h.u")) * 100 - F.col("h.u") * percent) & (F.col("h.n") * percent <= (F.col("n") - F.col("u")) * 100 - F.col("u") * percent)
-        differ = (F.col("comp") != F.col("h.comp")) if stars > 1 else F.lit(True)
-        pairs = open_.join(hubs, "band").filter((F.col("node") != F.col("h.node")) & fits & differ).select(F.col("h.node").alias("hub"), "node", "n")
-        # A pair that is met from either side, or in several buckets, is tested once.
-        pairs = pairs.groupBy(F.least("hub", "node").alias("x"), F.greatest("hub", "node").alias("y")).agg(F.min(F.struct("hub", "node", "n")).alias("p"))
-        if tested is not None:
-            pairs = stored(pairs, "met").join(tested, ["x", "y"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        now = stored(_confirm(pairs.select("p.*"), sets, percent), "links")
-        edges = now if edges is None else edges.unionAll(now)
-        tested = pairs.select("x", "y") if tested is None else tested.unionAll(pairs.select("x", "y"))
-        # What is left: buckets with several components among the members that were no hubs there, and have a possible partner.
-        if not now.isEmpty():
-            found = components(stored(edges, "edges"))
-        rest = open_.join(hubs.select("band", F.col("h.node").alias("node")), ["band", "node"], "left_anti").drop("comp")
-        rest = stored(rest, "rest")
-        rest = rest.join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node")) if found is not None else rest.withColumn("comp", F.col("node"))
-        rest = _unsettled(stored(rest, "rest"), percent)
-        if rest.isEmpty():
-            return edges if not edges.isEmpty() else None
-        if stars == 1:  # from the second round on, sizes rule out what has shingles of its own
-            own = sets.join(rest.select("node").distinct(), "node", "left_semi").select("node", F.explode("s").alias("x"))
-            own = own.groupBy("x").agg(F.count("*").alias("c"), F.min("node").alias("node")).filter("c = 1").groupBy("node").agg(F.count("*").alias("own"))
-            rest = stored(rest, "rest").join(stored(own, "own"), "node", "left").withColumn("u", F.coalesce("own", F.lit(0)).cast("bigint")).drop("own")
-            rest = _unsettled(stored(rest, "rest"), percent)
-            if rest.isEmpty():
-                return edges if not edges.isEmpty() else None
-        open_ = stored(rest, "open")
-        stars *= 4
-
-
-def _unsettled(rows: DataFrame, percent: int) -> DataFrame:
-    """Members that may have a partner of another component in their bucket: by component, and by the smallest size there."""
-    for _ in range(2):
-        about = stored(rows.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least")), "about")
-        most = (F.col("n") - F.col("u")) * 100 - F.col("u") * percent
-        rows = rows.join(about, "band").filter((F.col("lo") != F.col("hi")) & (F.col("least") * percent <= most)).drop("lo", "hi", "least")
-        rows = stored(rows, "unsettled")
-    return rows
+    weighed = stored(members.join(degree, "node").select("band", "node", "n", "weight"), "weighed")
+    hubs = stored(weighed.groupBy("band").agg(F.max(F.struct("weight", "node", "n")).alias("h")).select("band", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n")), "hubs")
+    fits = (F.col("n") * percent <= F.col("hub_n") * 100) & (F.col("hub_n") * percent <= F.col("n") * 100)
+    stars = weighed.join(hubs, "band").filter((F.col("node") != F.col("hub")) & fits)
+    # A pair that is met in several buckets, or from either side, is tested once.
+    stars = stars.groupBy(F.least("hub", "node").alias("x"), F.greatest("hub", "node").alias("y")).agg(F.min(F.struct("hub", "node", "n")).alias("p"))
+    links = stored(_confirm(stored(stars.select("p.*"), "stars"), sets, percent), "links")
+    # The rest: buckets that hold several components among the members that were no hubs there.
+    rest = stored(weighed.join(hubs, (weighed.band == hubs.band) & (weighed.node == hubs.hub), "left_anti").select("band", "node", "n"), "rest")
+    if links.isEmpty():
+        placed = rest.withColumn("comp", F.col("node"))
+    else:
+        placed = rest.join(components(links), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    placed = stored(placed, "placed")
+    mixed = stored(placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("band"), "mixed")
+    left = stored(placed.join(mixed, "band", "left_semi").select("node", "n", "comp").distinct(), "left")
+    pairs = _prefix_pairs(left, sets, percent)
+    if pairs is not None:
+        more = stored(_confirm(pairs, sets, percent), "links")
+        links = links.unionAll(more)
+    return None if links.isEmpty() else stored(links, "links")
+
+
+def _prefix_pairs(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """Pairs (hub, node, n) of different components in `left` that can reach the similarity: an exact prefix join.
+
+    Shingles are ordered by their number of nodes in `left`, rarest first. Two sets that have enough in common share a shingle at such places
+    p and q of theirs that min(n - p, m - q) reaches the overlap they need. What is in one component on both sides, or too far back for
+    the smallest partner, goes before anything is paired.
+    """
+    if left.isEmpty():
+        return None
+    wanted = left.sparkSession.sparkContext.broadcast(_marked(left.select(F.col("node").alias("key"))))
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.flatnonzero(_is_marked(wanted.value, batch.column(0).to_numpy()))
+            part = batch.take(pa.array(at))
+            sizes = part.column(1).value_lengths().to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), sizes)), part.column(1).flatten()], names=["node", "x"])
+
+    # Shingles of one node alone only count as places before all others.
+    every = stored(sets.mapInArrow(explode, "node bigint, x bigint"), "shingles").join(left, "node")
+    common = stored(every.groupBy("x").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least")).filter("c > 1"), "common")
+    order = Window.partitionBy("node").orderBy("c", "x")
+    shared = every.join(common, "x").withColumn("i", F.row_number().over(order)).withColumn("k", F.count("*").over(Window.partitionBy("node")))
+    # Rank from the end: how many shingles, this one included, can be common if this is the first that is.
+    reach = F.col("n") - (F.col("n") - F.col("k")) - F.col("i") + 1
+    entries = shared.withColumn("reach", reach).filter((F.col("lo") != F.col("hi")) & _enough("reach", "n", "least", percent)).select("x", "node", "n", "comp", "reach")
+    entries = stored(entries, "entries")
+    about = stored(entries.groupBy("x").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least"), F.max("reach").alias("most")).filter("lo <> hi"), "about")
+    entries = stored(entries.join(about, "x").filter(_enough("reach", "n", "least", percent)).select("x", "node", "n", "comp", "reach"), "entries")
+    other = entries.select("x", F.col("node").alias("hub"), F.col("n").alias("m"), F.col("comp").alias("far"), F.col("reach").alias("span"))
+    met = entries.join(other, "x").filter((F.col("comp") < F.col("far")) & _enough(F.least("reach", "span"), "n", "m", percent)).select("hub", "node", "n")
+    return stored(met.distinct(), "pairs")
+
+
+def _enough(common, n, m, percent: int) -> Column:
+    """Whether so many common shingles are enough for sets of n and m."""
+    common, n, m = (F.col(c) if isinstance(c, str) else c for c in (common, n, m))
+    return common * (100 + percent) >= (n + m) * percent
 
 
 def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
