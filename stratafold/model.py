@@ -160,7 +160,7 @@ def bind(request: SpaceRequest, locations: dict[str, Location], root: str) -> tu
         raise InvalidProperty(f"unknown storage '{request.storage}' (expected 'disk')")
     kind = request.kind or ANALYTICAL
     if kind == REMOTE:
-        raise InvalidProperty("a remote space needs a token")
+        raise InvalidProperty("spaces of peers are made with a token")
     engine = request.engine or ("row" if kind == TRANSACTIONAL else "columnar")
     new = request.location is None
     if new:
@@ -180,7 +180,7 @@ def bind(request: SpaceRequest, locations: dict[str, Location], root: str) -> tu
             raise InvalidProperty(f"location '{location.id}' belongs to a peer and cannot be bound again")
     if kind == TRANSACTIONAL:
         if location.format != ROWSTORE:
-            raise InvalidProperty(f"Space kind {kind} is incompatible with a {location.format} location")
+            raise InvalidProperty(f"a {kind} space cannot live in location {location.id}, which holds {location.format}")
         access = request.access or "writable"
         if access != "writable":
             raise InvalidProperty("a transactional space is always writable")
@@ -191,9 +191,9 @@ def bind(request: SpaceRequest, locations: dict[str, Location], root: str) -> tu
     else:
         access = request.access or ("writable" if new else "readonly")
     if location.format not in READS[engine]:
-        raise InvalidProperty(f"Engine {engine} cannot read a {location.format} location")
+        raise InvalidProperty(f"the {engine} engine does not read {location.format} locations")
     if access == "writable" and location.writer and location.writer != request.name:
-        raise InvalidProperty(f"Location {location.id} already has writer Space {location.writer}")
+        raise InvalidProperty(f"location {location.id} is written by space {location.writer}")
     return Space(request.name, kind, engine, location.id, access), location, new
 
 
