@@ -35,6 +35,7 @@ class Snapshot:
     manifests: list[str] = field(default_factory=list)
     parent: int | None = None
     ms: int = 0
+    streams: dict[str, int] = field(default_factory=dict)  #: last batch that came in from each stream
 
 
 class Table:
@@ -70,19 +71,20 @@ class Table:
 
     def _read(self, version: int) -> Snapshot:
         d = self.fs.read_json(f"{self.path}/log/{version:012d}.json")
-        return Snapshot(d["version"], d["id"], T.StructType.fromJson(d["schema"]), d["operation"], d["manifests"], d["parent"], d["ms"])
+        return Snapshot(d["version"], d["id"], T.StructType.fromJson(d["schema"]), d["operation"], d["manifests"], d["parent"], d["ms"], d["streams"])
 
     def _commit(self, make: Callable[[Snapshot], Snapshot]) -> Snapshot:
         for _ in range(TRIES):
             last = self.snapshot()
             new = make(last)
             new.version, new.parent, new.ms = last.version + 1, last.id, int(time.time() * 1000)
+            new.streams = last.streams | new.streams
             if self._create(new):
                 return new
         raise CommitConflict(f"{self.name}: another writer committed first, {TRIES} times")
 
     def _create(self, s: Snapshot) -> bool:
-        data = {"version": s.version, "id": s.id, "schema": s.schema.jsonValue(), "operation": s.operation, "manifests": s.manifests, "parent": s.parent, "ms": s.ms}
+        data = {"version": s.version, "id": s.id, "schema": s.schema.jsonValue(), "operation": s.operation, "manifests": s.manifests, "parent": s.parent, "ms": s.ms, "streams": s.streams}
         return self.fs.write(f"{self.path}/log/{s.version:012d}.json", json.dumps(data))
 
     # Files
@@ -129,6 +131,14 @@ class Table:
         added = self._manifest(self._write(df))
         return self._commit(lambda last: Snapshot(0, _new_id(), last.schema, "append", [*last.manifests, *added]))
 
+    def append_batch(self, df: DataFrame, stream: str, batch: int) -> Snapshot:
+        """Add a batch of a stream, once: a batch that is in the table already isn't added again."""
+        last = self.snapshot()
+        if last.streams.get(stream, -1) >= batch:
+            return last
+        added = self._manifest(self._write(df))
+        return self._commit(lambda last: Snapshot(0, _new_id(), last.schema, "append", [*last.manifests, *added], streams={stream: batch}))
+
     def overwrite(self, df: DataFrame | None, schema: T.StructType | None = None, operation: str = "overwrite", rows_per_file: int = ROWS_PER_FILE) -> Snapshot:
         """Replace all rows; none if `df` is None."""
         files = self._manifest(self._write(df, rows_per_file)) if df is not None else []
@@ -149,7 +159,7 @@ class Table:
     def _swap(self, seen: Snapshot, df: DataFrame | None, operation: str, kept: list[tuple[str, int]] = (), schema: T.StructType | None = None) -> Snapshot:
         """Replace the files of a snapshot that was read; a conflict if another commit came between."""
         files = self._manifest([*kept, *(self._write(df) if df is not None else [])])
-        new = Snapshot(seen.version + 1, _new_id(), schema or seen.schema, operation, files, seen.id, int(time.time() * 1000))
+        new = Snapshot(seen.version + 1, _new_id(), schema or seen.schema, operation, files, seen.id, int(time.time() * 1000), seen.streams)
         if not self._create(new):
             raise CommitConflict(f"{self.name} was changed while {operation} ran")
         return new
