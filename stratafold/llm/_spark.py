@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,22 +36,39 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Tables that stored() made within scratch(): path by the frame's identity.
+_scratch: ContextVar[dict[int, tuple[DataFrame, str]] | None] = ContextVar("scratch", default=None)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared folder and read it back: cuts the lineage, and survives lost executors."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop(df_or_path: DataFrame | str, spark: SparkSession | None = None) -> None:
-    """Delete a table made by stored(), once nothing reads it any more."""
-    if isinstance(df_or_path, DataFrame):
-        spark, paths = df_or_path.sparkSession, {f.rsplit("/", 1)[0] for f in df_or_path.inputFiles()}
-    else:
-        paths = {df_or_path}
-    for path in paths:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    if (made := _scratch.get()) is not None:
+        made[id(out)] = out, path
+    return out
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[..., None]]:
+    """Tables that are stored within go at its end, but for those given to the function it yields."""
+    made: dict[int, tuple[DataFrame, str]] = {}
+    token = _scratch.set(made)
+    kept: set[int] = set()
+    try:
+        yield lambda *frames: kept.update(map(id, frames))
+    finally:
+        _scratch.reset(token)
+        for key, (df, path) in made.items():
+            if key not in kept:
+                drop(path, df.sparkSession)
+
+
+def drop(path: str, spark: SparkSession) -> None:
+    """Delete a table, once nothing reads it any more."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def _drop_all() -> None:

@@ -17,7 +17,6 @@ repeated item ids count once; columns besides those named are passed by.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -66,7 +65,7 @@ class Index:
 
     def __init__(self, items: list[tuple[str | None, bytes | None]], window: int = WINDOW) -> None:
         self.ids = [i for i, _ in items]
-        words = Words([t for _, t in items], ALNUM)
+        self.words = words = Words([t for _, t in items], ALNUM)
         lengths = np.minimum(words.counts, window)
         self.classes = []
         for length in np.unique(lengths[lengths > 0]):
@@ -89,7 +88,7 @@ class Index:
             c.grams, first = np.unique(grams, return_index=True)
             c.first = np.append(first, len(grams))
             c.items = items_of
-            c.words = [words.strings(int(p), int(p) + c.length) for p in where[first]]
+            c.where = where[first]
             self.classes.append(c)
 
     def find(self, texts: list[bytes | None]) -> Iterator[tuple[int, list[tuple[int, int]], list[str]]]:
@@ -115,7 +114,7 @@ class Index:
             at = np.minimum(np.searchsorted(c.grams, x), len(c.grams) - 1)
             ok = c.grams[at] == x
             for s, g in zip(starts[ok].tolist(), at[ok].tolist(), strict=True):
-                if words.strings(s, s + c.length) == c.words[g]:
+                if words.strings(s, s + c.length) == self.words.strings(c.where[g], c.where[g] + c.length):
                     spans, items = found.setdefault(int(owner[s]), ([], set()))
                     s -= int(words.at[owner[s]])
                     spans.append((s, s + c.length))

@@ -232,7 +232,7 @@ def _look_up(keys: np.ndarray, table: np.ndarray, counts: np.ndarray) -> np.ndar
     return np.where(table[at] == unique, counts[at], 0).astype(np.int64)[inverse]
 
 
-def _token_counts(docs: DataFrame, text_col: str, tables: DataFrame, ranges: int, sc) -> DataFrame:
+def _token_counts(docs: DataFrame, text_col: str, tables: DataFrame, ranges: int) -> DataFrame:
     """The documents with `_c`: counts of each text's tokens in order, joined by hash range instead of broadcast.
 
     Rows are known by the task and place they are read at; the documents are written down first, so that both stay.
@@ -255,7 +255,7 @@ def _token_counts(docs: DataFrame, text_col: str, tables: DataFrame, ranges: int
 
     asked = numbered.select(F.col(text_col), "_row").mapInArrow(ask, "range int, keys binary, rows binary, places binary")
     # A range's table is one bounded row; the asking rows of a range are spread over tasks with a copy of it each.
-    salted = asked.withColumn("salt", (F.rand(1) * 8).cast("int"))
+    salted = asked.withColumn("salt", F.pmod(F.xxhash64("rows", "places"), F.lit(8)).cast("int"))
     copies = tables.select("range", F.col("keys").alias("t"), F.col("counts").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("salt"))
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,7 +295,7 @@ def score_texts(docs: DataFrame, *, text_col: str = "text", train: Column | None
         big = {int(k): int(c) for r in rows for k, c in _over(r)}
         source = docs
     else:
-        source, big, known = _token_counts(docs, text_col, words, ranges, sc), {}, None
+        source, big, known = _token_counts(docs, text_col, words, ranges), {}, None
     keep = docs.columns
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

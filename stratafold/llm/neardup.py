@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._spark import drop, stored, texts_of
+from ._spark import scratch, stored, texts_of
 from ._text import NONSPACE, Words, gram_hashes, groups, mix64
 
 SHINGLE, PERCENT = 4, 80
@@ -206,31 +206,30 @@ def components(edges: DataFrame) -> DataFrame:
         step = stored(step, "step")
         jump = step.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
         new = stored(step.join(jump, "comp").select("node", "old", F.col("next").alias("comp")), "labels")
-        drop(step)
-        drop(labels)
         if new.filter("old <> comp").isEmpty():
-            drop(both)
             return new.select("node", "comp")
         labels = new.select("node", "comp")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """id, n_shingles, component_id and kept of each row."""
-    rows = stored(_signatures(docs, id_col, text_col, shingle), "rows")
-    real = rows.filter((F.col("n") > 0) & F.col("id").isNotNull())
-    nodes = stored(real.groupBy("node", "key2", "n").agg(F.min("id").alias("id"), F.first("bands").alias("bands")), "nodes")
-    bands = nodes.select(F.explode("bands").alias("band"))
-    shared = stored(bands.groupBy("band").agg(F.count("*").alias("c")).filter("c > 1"), "shared")
-    # Bands of one node alone are most of them; those that the bit array knows for such aren't shuffled again.
-    members = stored(_in_bands(nodes, _marked(shared.select(F.col("band").alias("key")))).join(shared, "band"), "members")
-    edges = _links(docs, nodes, members, id_col, text_col, shingle, percent)
-    if edges is None:
-        smallest = nodes.select("node", "key2", "n", F.col("id").alias("component_id"))
-    else:
-        found = components(edges)
-        placed = stored(nodes.join(found, "node", "left").select("node", "key2", "n", "id", F.coalesce("comp", "node").alias("comp")), "placed")
-        least = stored(placed.groupBy("comp").agg(F.min("id").alias("component_id")), "least")
-        smallest = stored(placed.join(least, "comp").select("node", "key2", "n", "component_id"), "smallest")
+    with scratch() as keep:
+        rows = stored(_signatures(docs, id_col, text_col, shingle), "rows")
+        real = rows.filter((F.col("n") > 0) & F.col("id").isNotNull())
+        nodes = stored(real.groupBy("node", "key2", "n").agg(F.min("id").alias("id"), F.first("bands").alias("bands")), "nodes")
+        bands = nodes.select(F.explode("bands").alias("band"))
+        shared = stored(bands.groupBy("band").agg(F.count("*").alias("c")).filter("c > 1"), "shared")
+        # Bands of one node alone are most of them; those that the bit array knows for such aren't shuffled again.
+        members = stored(_in_bands(nodes, _marked(shared.select(F.col("band").alias("key")))).join(shared, "band"), "members")
+        edges = _links(docs, nodes, members, id_col, text_col, shingle, percent)
+        if edges is None:
+            smallest = stored(nodes.select("node", "key2", "n", F.col("id").alias("component_id")), "smallest")
+        else:
+            found = components(edges)
+            placed = stored(nodes.join(found, "node", "left").select("node", "key2", "n", "id", F.coalesce("comp", "node").alias("comp")), "placed")
+            least = stored(placed.groupBy("comp").agg(F.min("id").alias("component_id")), "least")
+            smallest = stored(placed.join(least, "comp").select("node", "key2", "n", "component_id"), "smallest")
+        keep(rows, smallest)
     linked = real.select("id", "n", "node", "key2").join(smallest, ["node", "key2", "n"]).select("id", "n", "component_id")
     alone = rows.filter((F.col("n") == 0) | F.col("id").isNull()).select("id", "n", F.col("id").alias("component_id"))
     kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))
