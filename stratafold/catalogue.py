@@ -6,7 +6,10 @@ the engine (views, policies, row changes, publishing, search, graphs) and come w
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -88,7 +91,7 @@ SQL |= {
     "win_range_frame": "SELECT l_orderkey, l_linenumber, count(*) OVER (PARTITION BY l_suppkey ORDER BY l_quantity RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS near FROM lake.lineitem",
     "win_ntile": "SELECT c_custkey, CAST(ntile(4) OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal, c_custkey) AS INT) AS quarter FROM lake.customer",
     "win_first_last": "SELECT event_id, first_value(event_type) OVER w AS first, last_value(event_type) OVER w AS last, nth_value(event_type, 2) OVER w AS second FROM lake.events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)",
-    "win_qualify": "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM lake.orders) t WHERE rn = 1",
+    "win_qualify": "SELECT o_custkey, o_orderkey FROM lake.orders WHERE o_orderstatus <> 'P' QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1",
     "sort_multi": "SELECT o_orderkey, o_orderpriority, o_totalprice FROM lake.orders ORDER BY o_orderpriority DESC, o_totalprice, o_orderkey",
     "topk": "SELECT o_orderkey, o_totalprice FROM lake.orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25",
     "limit_offset": "SELECT o_orderkey FROM lake.orders ORDER BY o_orderkey LIMIT 20 OFFSET 30",
@@ -252,13 +255,17 @@ def _root(spark: SparkSession, sf_dir: str) -> Session:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     root = f"{shared.rstrip('/')}/stratafold-root-{_fresh()}" if shared else tempfile.mkdtemp(prefix="stratafold-")
     engine = Engine(spark, root)
+    atexit.register(_drop, engine)
     engine.attach_files("lake", sf_dir)
     return engine.session()
 
 
-def _fresh() -> str:
-    import uuid
+def _drop(engine: Engine) -> None:
+    with contextlib.suppress(Exception):  # the session may be gone by then
+        engine.fs.delete(engine.root)
+
 
+def _fresh() -> str:
     return uuid.uuid4().hex[:12]
 
 

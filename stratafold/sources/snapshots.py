@@ -153,8 +153,7 @@ class Table:
         if not sizes:
             raise EngineError("no rows to compact")
         count = max(1, -(-sum(sizes) // target_bytes))
-        frame = self.frame(snapshot=last)
-        return self._swap(last, frame.coalesce(count) if count < frame.rdd.getNumPartitions() else frame.repartition(count), "compact")
+        return self._swap(last, self.frame(snapshot=last).repartition(count), "compact")
 
     def _swap(self, seen: Snapshot, df: DataFrame | None, operation: str, kept: list[tuple[str, int]] = (), schema: T.StructType | None = None) -> Snapshot:
         """Replace the files of a snapshot that was read; a conflict if another commit came between."""

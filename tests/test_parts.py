@@ -18,6 +18,9 @@ def test_scripts_are_split_outside_of_strings():
 
 def test_dialect():
     assert to_spark("SELECT [1, x[0]]::FLOAT[2], unnest(range(3))") == "SELECT array(1, x[0])::array<float>, explode(sequence(0, (3) - 1))"
+    assert to_spark("SELECT a // 2, strpos(s, 'x') FROM t") == "SELECT a  div 2, instr(s, 'x') FROM t"
+    want = "SELECT * EXCEPT (_met) FROM (SELECT a, b, (rank() OVER (ORDER BY b) = 1) AS _met FROM t WHERE a > 0) AS _q WHERE _met ORDER BY a"
+    assert to_spark("SELECT a, b FROM t WHERE a > 0 QUALIFY rank() OVER (ORDER BY b) = 1 ORDER BY a") == want
     assert from_first("FROM t WHERE a") == "SELECT * FROM t WHERE a" and from_first("FROM t SELECT a") == "FROM t SELECT a"
 
 
