@@ -27,11 +27,12 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._spark import scratch, stored, texts_of
+from ._spark import scratch, sliced, stored, texts_of
 from ._text import NONSPACE, Words, gram_hashes, groups, mix64
 
 SHINGLE, PERCENT = 4, 80
@@ -87,7 +88,7 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFram
     """id, n (shingles), node and key2 (together the set's key) and bands, for each row."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = texts_of(batch.column(1))
             n, keys, bands = [], [], []
             for a, b in groups(texts):
@@ -111,7 +112,7 @@ def _full_sets(docs: DataFrame, id_col: str, text_col: str, k: int, wanted: np.n
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # rows that are repeated give their set once a task
-        for batch in batches:
+        for batch in sliced(batches):
             marked = np.flatnonzero(_is_marked(bits.value, batch.column(0).to_numpy()))
             texts = texts_of(batch.column(1).take(pa.array(marked)))
             for a, b in groups(texts):
@@ -125,7 +126,8 @@ def _full_sets(docs: DataFrame, id_col: str, text_col: str, k: int, wanted: np.n
                 if node:
                     yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "s"])
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL")
+    key = F.col(id_col).cast("bigint")
+    rows = docs.filter(key.isNotNull()).select(F.xxhash64(key).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(scan, "node bigint, s array<bigint>")
 
 
@@ -240,7 +242,7 @@ def _links(docs: DataFrame, nodes: DataFrame, members: DataFrame, id_col: str, t
     """Confirmed links (a, b), enough to connect all that is linked; None if there are none."""
     if members.isEmpty():
         return None
-    first = nodes.join(members.select("node").distinct(), "node", "left_semi").select(F.col("id").alias("key"))
+    first = nodes.join(members.select("node").distinct(), "node", "left_semi").select(F.xxhash64("id").alias("key"))
     sets = _once(stored(_full_sets(docs, id_col, text_col, shingle, _marked(first)), "sets"))
     # Stars: in each bucket, from the member with most company to the others.
     degree = stored(members.groupBy("node").agg(F.sum("c").alias("weight")), "degree")
@@ -316,8 +318,16 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     inner = docs.toDF(*(f"_in{i}" for i in range(len(docs.columns))))
     key, text = (inner.columns[docs.columns.index(c)] for c in (id_col, text_col))
     marks = stored(near_duplicates(inner, id_col=key, text_col=text).filter(F.col(key).isNotNull()), "marks")
-    gone = marks.filter("not kept").select(F.col(key).alias("_gone")).distinct()
-    out = inner.join(gone, F.col(key) == F.col("_gone"), "left_anti")
+    gone = stored(marks.filter("not kept").select(F.col(key).alias("_gone")).distinct(), "gone")
+    bits = inner.sparkSession.sparkContext.broadcast(_marked(gone.select(F.xxhash64("_gone").alias("key"))))
+
+    @F.pandas_udf("boolean")
+    def marked(hashed: pd.Series) -> pd.Series:
+        return pd.Series(_is_marked(bits.value, hashed.to_numpy()))
+
+    # Only rows that the bit array knows are shuffled to be looked up; all others stay where they are.
+    may_go = F.col(key).isNotNull() & marked(F.xxhash64(F.col(key).cast("bigint")))
+    out = inner.filter(~may_go).unionAll(inner.filter(may_go).join(gone, F.col(key) == F.col("_gone"), "left_anti"))
     again = marks.filter("kept").groupBy(F.col(key).alias("_again")).agg(F.count("*").alias("c")).filter("c > 1").select("_again")
     if not again.isEmpty():
         again = stored(again, "again")
