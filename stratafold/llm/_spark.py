@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -89,6 +90,18 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of so many rows, to have fewer texts as Python objects at once."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+    # Workers are used again by later stages; what this task freed goes back to the system.
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def input_bytes(df: DataFrame) -> int:
     """The optimiser's estimate of the size of `df`; from file sizes for tables that are read from files."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -23,7 +23,7 @@ _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _CODES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64)[np.frombuffer(LOWER, np.uint8)]
 #: Bytes handled at once; powers of the base are kept for one such stretch.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -117,7 +117,7 @@ class Words:
         return [self.data[a:b].tobytes().translate(LOWER) for a, b in zip(self.starts[start:stop], self.ends[start:stop], strict=True)]
 
 
-def groups(texts: list[bytes | None], limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def groups(texts: list[bytes | None], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about `limit` bytes together, or of one text that is longer."""
     start = size = 0
     for i, t in enumerate(texts):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import kept, texts_of
+from ._spark import kept, sliced, texts_of
 from ._text import ALNUM, Words, gram_hashes, groups
 
 WINDOW = 13
@@ -171,7 +171,7 @@ def find_overlaps(docs: DataFrame, items: DataFrame, *, text_col: str = "text",
 
 def _scan(index, text_col: str, again: bool):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             others = batch.select([c for c in batch.schema.names if not again or c not in ("n_words", "spans", "item_ids")])
             texts = texts_of(batch.column(text_col))
             before = zip(batch.column("spans").to_pylist(), batch.column("item_ids").to_pylist(), strict=True) if again else iter(())

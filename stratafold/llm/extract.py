@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import stored
+from ._spark import sliced, stored
 
 #: Most rows of winning paths that are broadcast.
 BROADCAST_ROWS = 200_000
@@ -217,7 +217,7 @@ def vote(pages: DataFrame, host_col: str, html_col: str) -> DataFrame:
     """host and path: the winning path of each host."""
 
     def ballots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             sums: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0, 0])
             for h, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 path, score = Page(source or "").best()
@@ -244,7 +244,7 @@ def extract(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") -
     joined = hosted.join(winners, "_host", "left").select(*keep, "_path", html_col)
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for path, source in zip(batch.column("_path").to_pylist(), batch.column(html_col).to_pylist(), strict=True):
                 page = Page(source or "")

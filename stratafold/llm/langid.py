@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import fold, kept, texts_of
+from ._spark import fold, kept, sliced, texts_of
 from ._text import groups
 
 FEATURES = 1 << 13
@@ -145,12 +145,12 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     model = spark.sparkContext.broadcast(fit(training_rows(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, per_language=per_language, longest=longest)))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = texts_of(batch.column(text_col))
             lang, score, rejected = [], [], []
             for a, b in groups(texts, 1 << 20):
-                for c in range(a, b, 512):
-                    x, y, z = model.value.predict(texts[c : min(c + 512, b)])
+                for c in range(a, b, 128):
+                    x, y, z = model.value.predict(texts[c : min(c + 128, b)])
                     lang += x
                     score += y.tolist()
                     rejected += z.tolist()

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import input_bytes, stored, texts_of
+from ._spark import input_bytes, sliced, stored, texts_of
 from ._text import NONSPACE, Words, groups, mix64
 
 _U = np.uint64
@@ -103,7 +103,7 @@ def count_grams(docs: DataFrame, text_col: str, ranges: int, max_bytes: int) ->
             kept[1], kept[2] = [], []
             return batch_of(rows)
 
-        for batch in batches:
+        for batch in sliced(batches):
             texts = texts_of(batch.column(0))
             for a, b in groups(texts):
                 tokens = Tokens(texts[a:b])
@@ -241,7 +241,7 @@ def _token_counts(docs: DataFrame, text_col: str, tables: DataFrame, ranges: int
     shift = _U(64 - ranges.bit_length() + 1)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts, rows = texts_of(batch.column(0)), batch.column(1).to_numpy()
             for a, b in groups(texts):
                 tokens = Tokens(texts[a:b])
@@ -299,7 +299,7 @@ def score_texts(docs: DataFrame, *, text_col: str = "text", train: Column | None
     keep = docs.columns
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = texts_of(batch.column(text_col))
             given = batch.column("_c") if not small else None
             out: list[list[np.ndarray]] = [[], [], [], []]

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import fold, kept, texts_of
+from ._spark import fold, kept, sliced, texts_of
 from ._text import ALNUM, Words, groups
 
 WORD_ROWS, GRAM_ROWS = 1 << 13, 1 << 14
@@ -37,9 +37,9 @@ WINDOW, STRIDE = 32, 16
 POSITIVES, NEGATIVES, LONGEST = 1200, 1800, 4_000
 EPOCHS, BATCH, RATE = 6, 64, 0.02
 #: Most windows scored at once.
-CHUNK = 4096
+CHUNK = 2048
 #: Most words whose input products are kept.
-KEPT = 200_000
+KEPT = 60_000
 
 
 class Inputs:
@@ -338,7 +338,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     scorer = docs.sparkSession.sparkContext.broadcast(train(training_rows(docs, labels, id_col=id_col, text_col=text_col, label_id=label_id, positives=positives, negatives=negatives, longest=longest)))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = texts_of(batch.column(text_col))
             scores: list[float] = []
             for a, b in groups(texts, 1 << 20):
