@@ -34,12 +34,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ._spark import stored, texts_of
+from ._spark import sliced, stored, texts_of
 from ._text import groups
 
 CAPACITY, END_ID = 4096, 1
-#: Most words whose ids are kept in a task.
-KEPT = 300_000
+#: Words whose ids are kept in a worker: twice as many at most, as the last while's stay at hand.
+KEPT = 200_000
 
 # The tokenizer's own cut, for lower-cased Latin-1: contractions, letters, single digits, anything else but white space.
 _LETTERS, _DIGITS, _SPACE = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
@@ -83,13 +83,10 @@ class Encoder:
         seen = set(chain.from_iterable(c for c in cut if isinstance(c, list)))
         if len(self.kept) > KEPT:  # words of the last while stay at hand
             self.kept, self.older = {}, self.kept
-        new = []
-        for w in seen - self.kept.keys():
-            if w in self.older:
-                self.kept[w] = self.older[w]
-            else:
-                new.append(w)
-        self._learn(new)
+        seen -= self.kept.keys()
+        again = seen & self.older.keys()
+        self.kept.update(zip(again, map(self.older.__getitem__, again), strict=True))
+        self._learn(list(seen - again))
         get = self.kept.__getitem__
         for words in cut:
             yield (b"".join(map(get, words)) if isinstance(words, list) else self.whole(words)) + self.end
@@ -117,10 +114,10 @@ def pieces(docs: DataFrame, *, text_col: str = "text", keep: tuple[str, ...] = (
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encode, task, seen = _encoder(tokenizer, end_id), TaskContext.get().partitionId(), defaultdict(int)
-        for batch in batches:
+        for batch in sliced(batches, 4096):
             texts = texts_of(batch.column(text_col))
             rows = []
-            for a, b in groups(texts):
+            for a, b in groups(texts, 4 << 20):
                 for i, ids in enumerate(encode(texts[a:b]), a):
                     for start in range(0, len(ids), 4 * capacity):
                         part = ids[start : start + 4 * capacity]
@@ -131,6 +128,7 @@ def pieces(docs: DataFrame, *, text_col: str = "text", keep: tuple[str, ...] = (
             kept = batch.select(list(keep)).take(pa.array(index))
             numbers = [pa.array(columns[0], pa.int32()), *(pa.array(c, pa.int64()) for c in columns[1:4]), pa.array(np.full(len(index), task), pa.int64()), pa.array(columns[4], pa.int64())]
             yield pa.RecordBatch.from_arrays([*kept.columns, *numbers], names=[*keep, "piece", "start", "length", "ids_crc32", "task", "rank"])
+        encode.older = {}  # later stages run in this worker too
 
     kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     return docs.select(*keep, *({text_col} - set(keep))).mapInArrow(scan, f"{kept}, piece int, start bigint, length bigint, ids_crc32 bigint, task bigint, rank bigint")
