@@ -44,11 +44,16 @@ def bm25(df: DataFrame, columns: list[str], query: str, porter: bool = False, sc
         raise InvalidStatement("the query has no words")
     text = F.concat_ws(" ", *(F.col(c) for c in columns))
     found = text_functions.words(text)
-    rows = df.withColumn("_words", text_functions.stems(found) if porter else found)
-    for i, t in enumerate(terms):
-        rows = rows.withColumn(f"_tf{i}", F.size(F.filter("_words", _equals(t))))
-    rows = rows.withColumn("_length", F.size("_words"))
-    stats = rows.agg(F.count("*").alias("n"), F.avg("_length").alias("mean"), *(F.count(F.when(F.col(f"_tf{i}") > 0, 1)).alias(f"d{i}") for i in range(len(terms)))).first()
+    # Through explode() of one element the words are split once; as a plain column they would be, for each use of them.
+    def split(frame: DataFrame) -> DataFrame:
+        return frame.withColumn("_words", F.explode(F.array(text_functions.stems(found) if porter else found)))
+
+    rows = split(df)
+    def counted(frame: DataFrame) -> DataFrame:
+        return frame.withColumns({f"_tf{i}": F.size(F.filter("_words", _equals(t))) for i, t in enumerate(terms)} | {"_length": F.size("_words")})
+
+    rows = counted(rows)
+    stats = rows.select("_length", *(f"_tf{i}" for i in range(len(terms)))).agg(F.count("*").alias("n"), F.avg("_length").alias("mean"), *(F.count(F.when(F.col(f"_tf{i}") > 0, 1)).alias(f"d{i}") for i in range(len(terms)))).first()
     norm = K1 * (1 - B + B * F.col("_length") / F.lit(float(stats["mean"] or 1.0)))
     total: Column = F.lit(0.0)
     for i in range(len(terms)):
@@ -58,6 +63,11 @@ def bm25(df: DataFrame, columns: list[str], query: str, porter: bool = False, sc
     match = has[0]
     for h in has[1:]:
         match = (match & h) if every else (match | h)
+    if not porter:  # a text without the letters of some word has none of the words
+        low, holds = F.lower(text), F.lit(False)
+        for t in terms:
+            holds = holds | F.contains(low, F.lit(t))
+        rows = counted(split(df.filter(holds)))
     return rows.filter(match).withColumn(score, total).drop("_words", "_length", *(f"_tf{i}" for i in range(len(terms))))
 
 
