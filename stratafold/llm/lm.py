@@ -7,17 +7,18 @@ once a task, so no range is hot.
 Model.  A pair's count c is kept as its level 1 + floor(log2 c): the filter holds the pair under each level up to that, and a reader
 probes levels 1, 2, ... until one misses; the last hit gives the count back as the middle of its range.  A wrong answer can only
 raise a count, and each further level needs another false hit.  A pair's probes all fall in one 64-byte line, and each range of hashes
-has a part of the filter of its own, built where the range is summed and only put together on the driver.  A part's size follows its distinct
-pairs, BITS_EACH bits for each, up to its share of MAX_BYTES; beyond that the filter is denser and errs more (Filter.full() tells how much).
-Singletons are level 1 and held like any other.
+has a part of the filter of its own, built where the range is summed.  A part's size follows its distinct pairs, BITS_EACH bits for each,
+however many there are, so the filter errs no more in a large corpus (Filter.full() tells how much).  Singletons are level 1 and held like
+any other.
 
 Scores.  A token's probability given the one before is interpolated from the pair's estimate and the token's own:
     p(w | v) = (e(v, w) + D * u(w)) / (c(v) + D),   u(w) = (c(w) + 1) / (N + V + 1)
 with exact token counts c, N tokens and V distinct ones in training texts, and strength D.  `base_score` uses u alone.  The first token
 of a text follows the mark that ends the text before.
 
-Exact token counts are broadcast as sorted arrays while they are within MAX_BYTES; beyond that, each text's distinct tokens are
-joined with the counts by hash range instead, and their counts come back to the text as an array.  Both ways give the same scores.
+Exact token counts are broadcast as sorted arrays while they are within MAX_BYTES, and the filter is while its parts together are.
+Beyond that, the distinct n-grams of each chunk of texts go to their hash range's counts or part instead, and the answers come back to the
+chunk.  Both ways give the same scores.
 
 Edge cases: a null text counts as empty, and an empty text is its end mark; rows with a null id train, as crc32 is null and so not 2 for them;
 without training rows every probability is 1; repeated rows count and are scored each.
@@ -29,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +45,8 @@ BITS_EACH, PROBES, LEVELS = 10, 3, 16
 MAX_BYTES = 64 << 20
 #: Bytes of text a range of hashes stands for, and n-grams counted in a task before they are passed on.
 RANGE_BYTES, FLUSH = 8 << 20, 1 << 21
+#: Bytes of text that ask for their n-grams together where those are not broadcast.
+CHUNK_BYTES = 8 << 20
 STRENGTH = 5.0
 _LINE = 512
 
@@ -77,18 +81,23 @@ def _sum(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def count_grams(docs: DataFrame, text_col: str, ranges: int, max_bytes: int) -> DataFrame:
+def _by_range(keys: np.ndarray, ranges: int) -> Iterator[tuple[int, int, int]]:
+    """The ranges that ascending keys lie in, and where: range r holds keys[a:b]."""
+    shift = _U(64 - ranges.bit_length() + 1)
+    at = np.searchsorted(keys, np.arange(1, ranges, dtype=np.uint64) << shift) if ranges > 1 else np.empty(0, np.int64)
+    at = np.concatenate([[0], at, [len(keys)]])
+    for r in np.flatnonzero(np.diff(at)).tolist():
+        yield r, int(at[r]), int(at[r + 1])
+
+
+def count_grams(docs: DataFrame, text_col: str, ranges: int) -> DataFrame:
     """Sums by kind (1 tokens, 2 pairs) and range: distinct n-grams and their total count; of tokens, keys and counts as bytes; of
     pairs, that range's part of the filter as keys.
     """
-    shift = _U(64 - ranges.bit_length() + 1)
 
     def split(kind: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, int, bytes, bytes]]:
-        at = np.searchsorted(keys, np.arange(1, ranges, dtype=np.uint64) << shift) if ranges > 1 else np.empty(0, np.int64)
-        at = np.concatenate([[0], at, [len(keys)]])
-        for r, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
-            if b > a:
-                yield kind, r, keys[a:b].tobytes(), counts[a:b].astype(np.uint32).tobytes()
+        for r, a, b in _by_range(keys, ranges):
+            yield kind, r, keys[a:b].tobytes(), counts[a:b].astype(np.uint32).tobytes()
 
     def batch_of(rows: list[tuple[int, int, bytes, bytes]]) -> pa.RecordBatch:
         kind, r, keys, counts = zip(*rows, strict=True)
@@ -142,7 +151,7 @@ def count_grams(docs: DataFrame, text_col: str, ranges: int, max_bytes: int) ->
         if kind == 1:
             data = k0.tobytes(), c0.astype(np.int64).tobytes()
         else:
-            lines = max(1, min(max_bytes // ranges, len(k0) * BITS_EACH // 8) * 8 // _LINE)
+            lines = max(1, len(k0) * BITS_EACH // _LINE)
             data = Filter.build(k0, c0, ranges, lines).tobytes(), None
         return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([r], pa.int32()), pa.array([len(k0)], pa.int64()), pa.array([int(c0.sum())], pa.int64()), *(pa.array([x], pa.binary()) for x in data)], names=["kind", "range", "distinct", "total", "keys", "counts"])
 
@@ -187,22 +196,38 @@ class Filter:
                 bits[line[on] + p] = True
         return np.packbits(bits, bitorder="little")
 
-    def estimate(self, keys: np.ndarray) -> np.ndarray:
-        """Counts of pairs: 0, or the middle of the level's range."""
-        level = np.zeros(len(keys), np.int64)
+    @classmethod
+    def probe(cls, data: np.ndarray, line: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Levels of keys, 0 if absent, from the lines at these bits of the data."""
+        level = np.zeros(len(keys), np.uint8)
         live = np.arange(len(keys))
-        r = (keys >> _U(64 - self.ranges.bit_length() + 1)).astype(np.int64) if self.ranges > 1 else np.zeros(len(keys), np.int64)
-        line = ((self.within(keys, self.ranges) * self.lines[r] >> _U(32)) + self.first[r]).astype(np.int64) * _LINE
         for k in range(1, LEVELS + 1):
             hit = np.ones(len(live), bool)
-            for p in self.places(keys[live], k):
+            for p in cls.places(keys[live], k):
                 at = line[live] + p
-                hit &= (self.data[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+                hit &= (data[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
             live = live[hit]
             if not len(live):
                 break
             level[live] = k
-        return np.where(level > 0, 1.5 * 2.0 ** (level - 1) - 0.5, 0.0)
+        return level
+
+    @classmethod
+    def probe_part(cls, data: np.ndarray, keys: np.ndarray, ranges: int) -> np.ndarray:
+        """Levels of keys that all lie in the range of this part."""
+        lines = _U(len(data) * 8 // _LINE)
+        return cls.probe(data, (cls.within(keys, ranges) * lines >> _U(32)).astype(np.int64) * _LINE, keys)
+
+    @staticmethod
+    def middle(level: np.ndarray) -> np.ndarray:
+        """Counts for levels: 0, or the middle of the level's range."""
+        return np.where(level > 0, 1.5 * 2.0 ** (level.astype(np.int64) - 1) - 0.5, 0.0)
+
+    def estimate(self, keys: np.ndarray) -> np.ndarray:
+        """Counts of pairs: 0, or the middle of the level's range."""
+        r = (keys >> _U(64 - self.ranges.bit_length() + 1)).astype(np.int64) if self.ranges > 1 else np.zeros(len(keys), np.int64)
+        line = ((self.within(keys, self.ranges) * self.lines[r] >> _U(32)) + self.first[r]).astype(np.int64) * _LINE
+        return self.middle(self.probe(self.data, line, keys))
 
     def full(self) -> float:
         """Share of bits set; its PROBES-th power is the chance that an absent level seems present."""
@@ -210,15 +235,15 @@ class Filter:
 
 
 class Scorer:
-    """Scores texts, given exact token counts and the filter."""
+    """Scores texts, given exact token counts and the pairs' estimates."""
 
-    def __init__(self, n: int, v: int, filter_: Filter, strength: float = STRENGTH) -> None:
-        self.n, self.v, self.filter, self.strength = n, v, filter_, strength
+    def __init__(self, n: int, v: int, strength: float = STRENGTH) -> None:
+        self.n, self.v, self.strength = n, v, strength
 
-    def score(self, tokens: Tokens, counts: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """n_known, base_score and score of each text. counts and before: of each token and of the one before it."""
+    def score(self, tokens: Tokens, counts: np.ndarray, before: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """n_known, base_score and score of each text. counts and before: of each token and of the one before it; pairs: estimates."""
         u = (counts + 1) / (self.n + self.v + 1)
-        e = np.minimum(self.filter.estimate(tokens.pairs()), before)
+        e = np.minimum(pairs, before)
         p = (e + self.strength * u) / (before + self.strength)
         first = tokens.at[:-1]
         return np.add.reduceat((counts > 0).astype(np.int64), first), np.add.reduceat(np.log10(u), first), np.add.reduceat(np.log10(np.minimum(p, 1.0)), first)
@@ -232,41 +257,82 @@ def _look_up(keys: np.ndarray, table: np.ndarray, counts: np.ndarray) -> np.ndar
     return np.where(table[at] == unique, counts[at], 0).astype(np.int64)[inverse]
 
 
-def _token_counts(docs: DataFrame, text_col: str, tables: DataFrame, ranges: int) -> DataFrame:
-    """The documents with `_c`: counts of each text's tokens in order, joined by hash range instead of broadcast.
+def _chunked(docs: DataFrame, text_col: str) -> DataFrame:
+    """The documents with `_chunk`, the same for some neighbours; they are written down, so that it stays."""
+    keep = docs.columns
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, size = TaskContext.get().partitionId() << 33, 0
+        for batch in sliced(batches):
+            texts = texts_of(batch.column(text_col))
+            of = np.empty(len(texts), np.int64)
+            for a, b in groups(texts):
+                more = sum(len(t or b"") for t in texts[a:b])
+                if size and size + more > CHUNK_BYTES:
+                    chunk, size = chunk + 1, 0
+                of[a:b] = chunk
+                size += more
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(of)], names=[*keep, "_chunk"])
+
+    return stored(docs.mapInArrow(number, f"{_schema(docs)}, _chunk bigint"), "chunked")
 
-    Rows are known by the task and place they are read at; the documents are written down first, so that both stay.
-    """
-    numbered = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    shift = _U(64 - ranges.bit_length() + 1)
+
+def _schema(docs: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+
+
+def _answers(chunked: DataFrame, text_col: str, tables: DataFrame, ranges: int, kinds: tuple[int, ...]) -> DataFrame:
+    """For each chunk, the distinct n-grams of these kinds as bytes and, for tokens, their counts, for pairs, their levels."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[Tokens] = []
+        chunk = None
+
+        def close() -> pa.RecordBatch:
+            rows = []
+            for kind in kinds:
+                keys = np.unique(np.concatenate([t.hashes if kind == 1 else t.pairs() for t in held]))
+                rows += [(kind, r, chunk, keys[a:b].tobytes()) for r, a, b in _by_range(keys, ranges)]
+            kind, r, of, keys = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(r, pa.int32()), pa.array(of, pa.int64()), pa.array(keys, pa.binary())], names=["kind", "range", "_chunk", "keys"])
+
         for batch in sliced(batches):
-            texts, rows = texts_of(batch.column(0)), batch.column(1).to_numpy()
-            for a, b in groups(texts):
-                tokens = Tokens(texts[a:b])
-                place = np.arange(len(tokens.hashes)) - np.repeat(tokens.at[:-1], np.diff(tokens.at))
-                row = np.repeat(rows[a:b], np.diff(tokens.at))
-                r = (tokens.hashes >> shift).astype(np.int64) if ranges > 1 else np.zeros(len(row), np.int64)
-                order = np.argsort(r, kind="stable")
-                cut = np.flatnonzero(np.diff(r[order])) + 1
-                parts = [np.split(x[order], cut) for x in (r, tokens.hashes, row, place)]
-                yield pa.RecordBatch.from_arrays([pa.array([int(x[0]) for x in parts[0]], pa.int32()), *(pa.array([x.tobytes() for x in p], pa.binary()) for p in parts[1:])], names=["range", "keys", "rows", "places"])
-
-    asked = numbered.select(F.col(text_col), "_row").mapInArrow(ask, "range int, keys binary, rows binary, places binary")
-    # A range's table is one bounded row; the asking rows of a range are spread over tasks with a copy of it each.
-    salted = asked.withColumn("salt", F.pmod(F.xxhash64("rows", "places"), F.lit(8)).cast("int"))
-    copies = tables.select("range", F.col("keys").alias("t"), F.col("counts").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("salt"))
+            texts, of = texts_of(batch.column(0)), batch.column(1).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+            for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
+                if start == stop:
+                    continue
+                if held and of[start] != chunk:
+                    yield close()
+                    held = []
+                chunk = int(of[start])
+                held += [Tokens(texts[start + a : start + b]) for a, b in groups(texts[start:stop])]
+        if held:
+            yield close()
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k, rows, places, t, n in zip(*(batch.column(c).to_pylist() for c in ("keys", "rows", "places", "t", "n")), strict=True):
-                got = _look_up(np.frombuffer(k, np.uint64), np.frombuffer(t or b"", np.uint64), np.frombuffer(n or b"", np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(rows, np.int64)), pa.array(np.frombuffer(places, np.int64)), pa.array(got)], names=["_row", "p", "c"])
+        # Rows come sorted by kind and range, with the range's own row first; what is held is that row.
+        key, table, counts = None, np.empty(0, np.uint64), np.empty(0, np.int64)
+        for batch in sliced(batches):
+            out: list[tuple[int, int, bytes, bytes]] = []
+            for kind, r, chunk, k, c in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if chunk < 0:
+                    key, table, counts = (kind, r), np.frombuffer(k, np.uint64 if kind == 1 else np.uint8), np.frombuffer(c or b"", np.int64)
+                    continue
+                keys = np.frombuffer(k, np.uint64)
+                if kind == 1:
+                    got = _look_up(keys, table, counts) if (kind, r) == key else np.zeros(len(keys), np.int64)
+                else:
+                    got = Filter.probe_part(table, keys, ranges) if (kind, r) == key else np.zeros(len(keys), np.uint8)
+                out.append((chunk, kind, k, got.tobytes()))
+            if out:
+                chunk, kind, k, got = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(chunk, pa.int64()), pa.array(kind, pa.int32()), pa.array(k, pa.binary()), pa.array(got, pa.binary())], names=["_chunk", "kind", "keys", "values"])
 
-    answers = salted.join(copies, ["range", "salt"], "left").select("keys", "rows", "places", "t", "n").mapInArrow(answer, "_row bigint, p bigint, c bigint")
-    back = answers.groupBy("_row").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "c"))), lambda x: x["c"]).alias("_c"))
-    return numbered.join(back, "_row").drop("_row")
+    asked = chunked.select(text_col, "_chunk").mapInArrow(ask, "kind int, range int, _chunk bigint, keys binary").withColumn("counts", F.lit(None).cast("binary"))
+    held = tables.filter(F.col("kind").isin(*kinds)).select("kind", "range", F.lit(-1).cast("bigint").alias("_chunk"), "keys", "counts")
+    both = held.unionByName(asked).repartition(ranges, "kind", "range").sortWithinPartitions("kind", "range", "_chunk")
+    return both.mapInArrow(answer, "_chunk bigint, kind int, keys binary, values binary")
 
 
 def score_texts(docs: DataFrame, *, text_col: str = "text", train: Column | None = None, strength: float = STRENGTH, max_bytes: int = MAX_BYTES) -> DataFrame:
@@ -280,50 +346,72 @@ def score_texts(docs: DataFrame, *, text_col: str = "text", train: Column | None
     if size > 1 << 50:  # the optimiser doesn't know
         size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     ranges = 1 << max(0, (max(1, min(1 << 16, 4 * size // RANGE_BYTES)) - 1).bit_length())
-    tables = stored(count_grams(docs.filter(train) if train is not None else docs, text_col, ranges, max_bytes), "grams")
+    tables = stored(count_grams(docs.filter(train) if train is not None else docs, text_col, ranges), "grams")
     words = tables.filter("kind = 1").select("range", "keys", "counts")
     v, n = tables.filter("kind = 1").agg(F.coalesce(F.sum("distinct"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
-    # The filter's parts are max_bytes together at most, or a line each.
-    parts = [np.zeros(_LINE // 8, np.uint8)] * ranges
-    for row in tables.filter("kind = 2").select("range", "keys").toLocalIterator():
-        parts[row.range] = np.frombuffer(row["keys"], np.uint8)
-    scorer = sc.broadcast(Scorer(n, v, Filter(parts), strength))
+    scorer = Scorer(n, v, strength)
     small = v * 12 <= max_bytes
+    known, big = None, {}
     if small:
         rows = sorted(words.toLocalIterator(), key=lambda r: r.range)
         known = sc.broadcast((np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in rows] or [np.empty(0, np.uint64)]), np.concatenate([np.minimum(np.frombuffer(r["counts"], np.int64), 2**32 - 1).astype(np.uint32) for r in rows] or [np.empty(0, np.uint32)])))
         big = {int(k): int(c) for r in rows for k, c in _over(r)}
-        source = docs
-    else:
-        source, big, known = _token_counts(docs, text_col, words, ranges), {}, None
+    pairs = tables.filter("kind = 2").select("range", "keys")
+    light = (pairs.agg(F.sum(F.octet_length("keys"))).first()[0] or 0) <= max_bytes
+    filter_ = None
+    if light:
+        # Ranges without pairs have a line each.
+        parts = [np.zeros(_LINE // 8, np.uint8)] * ranges
+        for row in pairs.toLocalIterator():
+            parts[row.range] = np.frombuffer(row["keys"], np.uint8)
+        filter_ = sc.broadcast(Filter(parts))
     keep = docs.columns
 
+    def scored(batch: pa.RecordBatch, given: dict[int, tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        # given: keys and values by kind, for what is not broadcast
+        texts = texts_of(batch.column(text_col))
+        out: list[list[np.ndarray]] = [[], [], [], []]
+        for a, b in groups(texts):
+            tokens = Tokens(texts[a:b])
+            if small:
+                counts = _look_up(tokens.hashes, *known.value)
+                for k, c in big.items():
+                    counts[tokens.hashes == _U(k)] = c
+                end = _one(END, known.value, big)
+            else:
+                counts = _look_up(tokens.hashes, *given[1])
+                end = int(counts[tokens.at[1] - 1])
+            before = np.empty_like(counts)
+            before[1:] = counts[:-1]
+            before[tokens.at[:-1]] = end
+            e = filter_.value.estimate(tokens.pairs()) if light else Filter.middle(_look_up(tokens.pairs(), *given[2]))
+            for o, x in zip(out, (np.diff(tokens.at), *scorer.score(tokens, counts, before, e)), strict=True):
+                o.append(x)
+        numbers = [np.concatenate(o) if o else np.empty(0) for o in out]
+        extra = [pa.array(numbers[0], pa.int64()), pa.array(numbers[1], pa.int64()), pa.array(np.full(len(texts), n), pa.int64()), pa.array(numbers[2], pa.float64()), pa.array(numbers[3], pa.float64())]
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *extra], names=[*keep, *added])
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            texts = texts_of(batch.column(text_col))
-            given = batch.column("_c") if not small else None
-            out: list[list[np.ndarray]] = [[], [], [], []]
-            for a, b in groups(texts):
-                tokens = Tokens(texts[a:b])
-                if small:
-                    counts = _look_up(tokens.hashes, *known.value)
-                    for k, c in big.items():
-                        counts[tokens.hashes == _U(k)] = c
-                    end = _one(END, known.value, big)
-                else:
-                    counts = given.slice(a, b - a).flatten().to_numpy().astype(np.int64)
-                    end = int(counts[tokens.at[1] - 1])
-                before = np.empty_like(counts)
-                before[1:] = counts[:-1]
-                before[tokens.at[:-1]] = end
-                for o, x in zip(out, (np.diff(tokens.at), *scorer.value.score(tokens, counts, before)), strict=True):
-                    o.append(x)
-            numbers = [np.concatenate(o) if o else np.empty(0) for o in out]
-            extra = [pa.array(numbers[0], pa.int64()), pa.array(numbers[1], pa.int64()), pa.array(np.full(len(texts), n), pa.int64()), pa.array(numbers[2], pa.float64()), pa.array(numbers[3], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *extra], names=[*keep, *added])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return source.mapInArrow(scan, f"{schema}, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, lm_score double")
+            yield scored(batch, {})
+
+    def scan_chunk(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        given: dict[int, list[tuple[bytes, bytes]]] = {1: [], 2: []}
+        for kind, k, x in zip(*(answers.column(c).to_pylist() for c in ("kind", "keys", "values")), strict=True):
+            given[kind].append((k, x))
+        tables = {}
+        for kind, type_ in ((1, np.int64), (2, np.uint8)):
+            keys = np.frombuffer(b"".join(k for k, _ in given[kind]), np.uint64)
+            order = np.argsort(keys)
+            tables[kind] = keys[order], np.frombuffer(b"".join(x for _, x in given[kind]), type_)[order]
+        return pa.Table.from_batches([scored(batch, tables) for batch in sliced(iter(texts.to_batches()))])
+
+    schema = f"{_schema(docs)}, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, lm_score double"
+    if small and light:
+        return docs.mapInArrow(scan, schema)
+    chunked = _chunked(docs, text_col)
+    answers = _answers(chunked, text_col, tables, ranges, tuple(kind for kind, here in ((1, small), (2, light)) if not here))
+    return chunked.groupBy("_chunk").cogroup(answers.groupBy("_chunk")).applyInArrow(scan_chunk, schema)
 
 
 def _over(row) -> Iterator[tuple[int, int]]:

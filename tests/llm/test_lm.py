@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 from stratafold.llm import lm
 
 TEXTS = ["The cat sat on the mat", "the cat  sat", "THE DOG sat on a mat . é É", None, "", "the cat sat on the mat " * 50, "x y 　 z"]
@@ -59,3 +60,27 @@ def test_empty_tables(spark):
 
     (r,) = lm.score_texts(docs, train=F.lit(False)).collect()
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (3, 0, 0, 0.0)
+
+
+@pytest.mark.parametrize("chunk", [1, lm.CHUNK_BYTES])
+def test_filter_grows_with_its_pairs_and_both_ways_score_alike(spark, monkeypatch, chunk):
+    import numpy as np
+
+    monkeypatch.setattr(lm, "CHUNK_BYTES", chunk)
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 300, 100)) for _ in range(400)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, *TEXTS])], "doc_id bigint, text string").repartition(3)
+    tables = {r.kind: r for r in lm.count_grams(docs, "text", 1).collect()}
+    assert len(tables[2]["keys"]) * 8 > 0.9 * lm.BITS_EACH * tables[2].distinct
+    want = {r.doc_id: r for r in lm.score_texts(docs).collect()}
+    # 2000 bytes hold neither the filter of 33,000 pairs nor the token counts, 10,000 the latter only.
+    for max_bytes in (0, 2000, 10000):
+        got = {r.doc_id: r for r in lm.score_texts(docs, max_bytes=max_bytes).collect()}
+        assert got.keys() == want.keys()
+        for i, r in got.items():
+            assert r[:5] == want[i][:5] and r.base_score == want[i].base_score and r.lm_score == want[i].lm_score
+    # Pairs that were never seen stay improbable with a small max_bytes: almost all have no false hit.
+    unseen = spark.createDataFrame([(i, f"w{i} x{i} w{i + 1}") for i in range(299)], "doc_id bigint, text string")
+    both = docs.withColumn("t", F.lit(True)).unionByName(unseen.withColumn("t", F.lit(False)))
+    far = {r.doc_id: r for r in lm.score_texts(both, train=F.col("t"), max_bytes=2000).filter("not t").collect()}
+    assert np.mean([r.lm_score < r.base_score for r in far.values()]) > 0.9
