@@ -41,7 +41,9 @@ _U = np.uint64
 #: The end mark's hash; any fixed number does.
 END = _U(0x243F6A8885A308D3)
 HELD_OUT_OF, HELD_OUT = 7, 2
-BITS_EACH, PROBES, LEVELS = 10, 3, 16
+BITS_EACH, PROBES = 10, 3
+#: The level of the largest count that 64 bits with a sign hold.
+LEVELS = 63
 MAX_BYTES = 64 << 20
 #: Bytes of text a range of hashes stands for, and n-grams counted in a task before they are passed on.
 RANGE_BYTES, FLUSH = 8 << 20, 1 << 21
@@ -182,7 +184,7 @@ class Filter:
 
     @staticmethod
     def levels(counts: np.ndarray) -> np.ndarray:
-        return np.minimum(1 + np.floor(np.log2(counts)).astype(np.int64), LEVELS)
+        return np.frexp(counts)[1].astype(np.int64)
 
     @classmethod
     def build(cls, keys: np.ndarray, counts: np.ndarray, ranges: int, lines: int) -> np.ndarray:

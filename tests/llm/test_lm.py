@@ -84,3 +84,14 @@ def test_filter_grows_with_its_pairs_and_both_ways_score_alike(spark, monkeypatc
     both = docs.withColumn("t", F.lit(True)).unionByName(unseen.withColumn("t", F.lit(False)))
     far = {r.doc_id: r for r in lm.score_texts(both, train=F.col("t"), max_bytes=2000).filter("not t").collect()}
     assert np.mean([r.lm_score < r.base_score for r in far.values()]) > 0.9
+
+
+def test_levels_run_to_the_largest_count():
+    import numpy as np
+
+    counts = np.array([1, 2, 3, 4, 65535, 65536, 1 << 20, (1 << 20) - 1, 10**9, 3 * 10**12])
+    keys = np.arange(1, len(counts) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    assert lm.Filter.levels(counts).tolist() == [int(c).bit_length() for c in counts]
+    f = lm.Filter([lm.Filter.build(keys, counts, 1, 4000)])
+    got = f.estimate(keys)
+    assert (np.abs(got / counts - 1) <= 0.5).all()
