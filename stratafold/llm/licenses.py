@@ -139,7 +139,7 @@ def phrase_pattern(phrase: str) -> str:
 
 
 def with_phrases(docs: DataFrame, text_col: str = "text", phrases: dict[str, str] = PHRASES) -> DataFrame:
-    """The documents and n_base, first_word, last_word and base_labels (an array) of the phrases' places."""
+    """The documents and n_base, first_word, last_word and base_labels (an array) of the phrases' places, and n_words of the whole text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     anything = f"(?i)(?<!{WORD})(?:{'|'.join(f'{GAP}+'.join(p.split()) for p in phrases)})(?!{WORD})"
     # A cheap test before the patterns: the longest word of some phrase, in a lower-cased copy.
@@ -160,6 +160,7 @@ def with_phrases(docs: DataFrame, text_col: str = "text", phrases: dict[str, str
     last = F.regexp_extract(text, f"(?s)^(.*){anything.removeprefix('(?i)')}".replace("(?s)", "(?is)"), 1)
     out = out.withColumn("last_word", F.when(found, count(last, F.lit(f"{WORD}+")).cast("bigint")))
     labels = F.array(*(F.when(found & text.rlike(phrase_pattern(p)), F.lit(label)) for p, label in phrases.items()))
+    out = out.withColumn("n_words", count(text, F.lit(f"{WORD}+")).cast("bigint"))
     return out.withColumn("base_labels", F.array_sort(F.array_distinct(F.array_compact(labels)))).drop("_low", "_may", "_parts")
 
 
@@ -169,7 +170,7 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = F.array_sort(F.array_distinct(F.concat("base_labels", F.transform("matches", lambda m: m["label"]))))
     best = F.coalesce(F.array_max(F.transform("matches", lambda m: m["containment"])), F.lit(0.0))
     score = F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(best)
-    return out.select("doc_id", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), score.alias("score"))
+    return out.select("doc_id", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), score.alias("score"), "n_words")
 
 
 def _sql_words(text: str) -> str:

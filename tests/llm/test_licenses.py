@@ -39,3 +39,10 @@ def test_against_brute_force(spark, tmp_path):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     assert licenses.with_phrases(licenses.scan_licenses(docs)).collect() == []
+
+
+def test_words_of_whole_texts(spark, tmp_path):
+    texts = [None, "", " ", "...", "one", "One two-three, ÄÖ 4five\n_six_", "all rights reserved", "a b all rights reserved c d cc by e", "w " * 5000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.n_words for r in licenses.op2_licenses(spark, str(tmp_path)).collect()}
+    assert got == {i: len(alnum_words(t)) for i, t in enumerate(texts)}
