@@ -8,6 +8,10 @@ before the count of common words, and none of them loses a pair:
 * length: it has at least `need` words of the templates' vocabulary (others cannot be common words);
 * position: a word at position i of n in the block and j of |T| in T leaves at most 1 + min(n - i, |T| - j) common ones.
 
+A notice may be wrapped over lines.  So runs of words of the whole text are joined as well, whatever lines they are on: each run as long
+as T, that starts at a word of T, meets T when it holds `need` of T's words.  Runs are looked at where the whole text, taken as a block,
+passes the three filters and holds `need` of T's words, which loses none either.
+
 The templates are the small side and stand in the plan as literals, so the corpus is joined in the scan, without a
 shuffle; only the frequencies of the templates' own words, a few hundred at most, come to the driver.  The prefix filter
 runs first over whole texts: only those that hold a prefix word are cut into blocks.
@@ -59,6 +63,7 @@ class Template:
     label: str
     words: tuple[str, ...]  #: rarest first
     need: int
+    length: int  #: words of the text, repeated ones too
 
     @property
     def prefix(self) -> tuple[str, ...]:
@@ -75,19 +80,23 @@ def words(text: Column) -> Column:
 
 
 def _template_words(text: str) -> frozenset[str]:
-    return frozenset("".join(c if c.isalnum() or ord(c) > 127 else " " for c in text.translate(str.maketrans(UPPER, LOWER))).split())
+    return frozenset(_split(text))
+
+
+def _split(text: str) -> list[str]:
+    return "".join(c if c.isalnum() or ord(c) > 127 else " " for c in text.translate(str.maketrans(UPPER, LOWER))).split()
 
 
 def order_templates(docs: DataFrame, text_col: str, templates, threshold: float) -> tuple[list[Template], list[str]]:
     """Templates with their words by document frequency in `docs`, rarest first; and all words of templates in that order."""
-    sets = [(label, _template_words(text)) for label, text in templates]
-    vocabulary = sorted(set().union(*(s for _, s in sets)))
+    sets = [(label, _template_words(text), len(_split(text))) for label, text in templates]
+    vocabulary = sorted(set().union(*(s for _, s, _ in sets)))
     if len(vocabulary) > MAX_TEMPLATE_WORDS:
         raise ValueError(f"templates have {len(vocabulary)} words, over {MAX_TEMPLATE_WORDS}: scan them in several calls")
     found = docs.select(F.explode(F.array_intersect(_literal(vocabulary), words(F.col(text_col)))).alias("w")).groupBy("w").count().collect()
     df = {r.w: r["count"] for r in found}
     rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (df.get(w, 0), w)))}
-    out = [Template(label, tuple(sorted(s, key=rank.get)), math.ceil(threshold * len(s) - 1e-9)) for label, s in sets if s]
+    out = [Template(label, tuple(sorted(s, key=rank.get)), math.ceil(threshold * len(s) - 1e-9), n) for label, s, n in sets if s]
     return out, sorted(vocabulary, key=rank.get)
 
 
@@ -110,9 +119,10 @@ def similar(block: Column, t: Template) -> Column:
 
 
 def scan_licenses(docs: DataFrame, *, text_col: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents with all their columns and `matches`: an array of (block, label, containment), blocks from 0.
+    """The documents with all their columns and `matches`: an array of (block, label, containment), blocks from 0; and `runs`: for
+    each template that some run of words meets, (word, label, containment) of the first of the fullest runs, words from 0.
 
-    A column of that name in `docs` is replaced.
+    Columns of those names in `docs` are replaced.
     """
     ordered, vocabulary = order_templates(docs, text_col, templates, threshold)
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -131,7 +141,21 @@ def scan_licenses(docs: DataFrame, *, text_col: str = "text", templates=TEMPLATE
         return F.when(F.lower(line).rlike(any_rare), F.flatten(F.transform(F.array(block), met)))
 
     found = F.flatten(F.filter(F.transform(F.split(text, "\n"), pairs), lambda p: p.isNotNull())) if rare else F.array().cast(number)
-    return docs.withColumn("matches", F.when(holds_prefix, found).otherwise(F.array().cast(number)))
+    places = "array<struct<word:int,label:string,containment:double>>"
+
+    def runs(w: Column) -> Column:
+        def best(block: Column, t: Template) -> Column:
+            own = _literal(t.words)
+            # Less the place, so that the first of equals is the largest.
+            each = F.transform(w, lambda x, i: F.when(F.array_contains(own, x), F.struct(F.size(F.array_intersect(F.slice(w, i + 1, t.length), own)).alias("n"), (-i).alias("at"))))
+            top = F.array_max(F.filter(each, lambda e: e["n"] >= t.need))
+            run = F.transform(F.array(top), lambda e: F.when(e.isNotNull(), F.struct((-e["at"]).alias("word"), F.lit(t.label).alias("label"), (e["n"] / F.lit(float(len(t.words)))).alias("containment"))))
+            return F.when(similar(block, t), F.element_at(run, 1))
+
+        return F.flatten(F.transform(F.array(F.array_intersect(_literal(vocabulary), w)), lambda block: F.array_compact(F.array(*(best(block, t) for t in ordered)))))
+
+    wrapped = F.flatten(F.transform(F.array(words(text)), runs)).cast(places) if rare else F.array().cast(places)
+    return docs.withColumns({"matches": F.when(holds_prefix, found).otherwise(F.array().cast(number)), "runs": F.when(holds_prefix, wrapped).otherwise(F.array().cast(places))})
 
 
 def phrase_pattern(phrase: str) -> str:
@@ -170,7 +194,10 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = F.array_sort(F.array_distinct(F.concat("base_labels", F.transform("matches", lambda m: m["label"]))))
     best = F.coalesce(F.array_max(F.transform("matches", lambda m: m["containment"])), F.lit(0.0))
     score = F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(best)
-    return out.select("doc_id", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), score.alias("score"), "n_words")
+    # `labels` and `score` are of lines, as in the SQL; these two have the runs over lines besides.
+    wide_labels = F.array_sort(F.array_distinct(F.concat(labels, F.transform("runs", lambda m: m["label"]))))
+    wide = F.greatest(score, F.coalesce(F.array_max(F.transform("runs", lambda m: m["containment"])), F.lit(0.0)))
+    return out.select("doc_id", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), score.alias("score"), "n_words", F.array_join(wide_labels, ",").alias("wide_labels"), wide.alias("wide_score"))
 
 
 def _sql_words(text: str) -> str:

@@ -46,3 +46,31 @@ def test_words_of_whole_texts(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r.n_words for r in licenses.op2_licenses(spark, str(tmp_path)).collect()}
     assert got == {i: len(alnum_words(t)) for i, t in enumerate(texts)}
+
+
+def test_notices_wrapped_over_lines_against_brute_force(spark, tmp_path):
+    import textwrap
+
+    rng = random.Random(6)
+    texts = [None, "", "the license", "mit\n\nlicense under\nthe released"]
+    for label, t in licenses.TEMPLATES:
+        for width in (20, 40, 75):
+            texts += [textwrap.fill(t, width), "# " + textwrap.fill(t, width).replace("\n", "\n# "), "before it\n" + textwrap.fill("Some words and " + t + " More of the same.", width) + "\nafter"]
+        ws = t.split()
+        rng.shuffle(ws)
+        texts += ["\n".join(ws), "\n".join(w + " x y" for w in ws), "\n".join(ws[: len(ws) * 3 // 5]), " the of\n" * 300 + t.replace(" ", "\n")]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in licenses.op2_licenses(spark, str(tmp_path)).collect()}
+    for i, text in enumerate(texts):
+        *_, labels, best = brute(text)
+        labels, words = set(filter(None, labels.split(","))), alnum_words(text)
+        for label, template in licenses.TEMPLATES:
+            t, n = licenses._template_words(template), len(alnum_words(template))
+            for p in range(len(words)):
+                run = set(words[p : p + n]) & t
+                if len(run) >= licenses.THRESHOLD * len(t) - 1e-9:
+                    labels.add(label)
+                    best = max(best, len(run) / len(t))
+        assert got[i].wide_labels == ",".join(sorted(labels)) and abs(got[i].wide_score - best) < 1e-12, text
+    mit = textwrap.fill(licenses.TEMPLATES[1][1], 40)
+    assert (got[texts.index(mit)].labels, got[texts.index(mit)].wide_labels, got[texts.index(mit)].wide_score) == ("", "mit", 1.0)
