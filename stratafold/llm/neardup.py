@@ -215,6 +215,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """id, n_shingles, component_id and kept of each row."""
+    return _decided(docs, id_col, text_col, shingle, percent).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "kept")
+
+
+def _decided(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
+    """id, n, node, key2, component_id and kept of each row."""
     with scratch() as keep:
         rows = stored(_signatures(docs, id_col, text_col, shingle), "rows")
         real = rows.filter((F.col("n") > 0) & F.col("id").isNotNull())
@@ -232,10 +237,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             least = stored(placed.groupBy("comp").agg(F.min("id").alias("component_id")), "least")
             smallest = stored(placed.join(least, "comp").select("node", "key2", "n", "component_id"), "smallest")
         keep(rows, smallest)
-    linked = real.select("id", "n", "node", "key2").join(smallest, ["node", "key2", "n"]).select("id", "n", "component_id")
-    alone = rows.filter((F.col("n") == 0) | F.col("id").isNull()).select("id", "n", F.col("id").alias("component_id"))
+    linked = real.select("id", "n", "node", "key2").join(smallest, ["node", "key2", "n"]).select("id", "n", "node", "key2", "component_id")
+    alone = rows.filter((F.col("n") == 0) | F.col("id").isNull()).select("id", "n", "node", "key2", F.col("id").alias("component_id"))
     kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))
-    return linked.unionAll(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
+    return linked.unionAll(alone).withColumn("kept", kept)
 
 
 def _links(docs: DataFrame, nodes: DataFrame, members: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame | None:
@@ -317,8 +322,8 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     """One document of each component, the one with the smallest id, with the columns of `docs`; of repeated rows, one."""
     inner = docs.toDF(*(f"_in{i}" for i in range(len(docs.columns))))
     key, text = (inner.columns[docs.columns.index(c)] for c in (id_col, text_col))
-    marks = stored(near_duplicates(inner, id_col=key, text_col=text).filter(F.col(key).isNotNull()), "marks")
-    gone = stored(marks.filter("not kept").select(F.col(key).alias("_gone")).distinct(), "gone")
+    marks = stored(_decided(inner, key, text, SHINGLE, PERCENT).filter("id is not null").select(F.col("id").alias(key), "node", "key2", "kept"), "marks")
+    gone = stored(marks.groupBy(F.col(key).alias("_gone")).agg(F.bool_or("kept").alias("_some"), F.bool_and("kept").alias("_all")).filter("not _all").select("_gone", "_some"), "gone")
     bits = inner.sparkSession.sparkContext.broadcast(_marked(gone.select(F.xxhash64("_gone").alias("key"))))
 
     @F.pandas_udf("boolean")
@@ -328,6 +333,13 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     # Only rows that the bit array knows are shuffled to be looked up; all others stay where they are.
     may_go = F.col(key).isNotNull() & marked(F.xxhash64(F.col(key).cast("bigint")))
     out = inner.filter(~may_go).unionAll(inner.filter(may_go).join(gone, F.col(key) == F.col("_gone"), "left_anti"))
+    # An id with texts of both kinds loses only those that aren't kept, so its rows are looked up by their sets too.
+    mixed = gone.filter("_some").select("_gone")
+    if not mixed.isEmpty():
+        dropped = marks.filter("not kept").select(F.col(key).alias("_gone"), F.col("node").alias("_node"), F.col("key2").alias("_key2")).distinct()
+        rows = _with_sets(inner.filter(may_go).join(mixed, F.col(key) == F.col("_gone"), "left_semi"), text, SHINGLE)
+        same = (F.col(key) == F.col("_gone")) & (F.col("_set") == F.col("_node")) & (F.col("_set2") == F.col("_key2"))
+        out = out.unionAll(rows.join(dropped, same, "left_anti").select(*inner.columns))
     again = marks.filter("kept").groupBy(F.col(key).alias("_again")).agg(F.count("*").alias("c")).filter("c > 1").select("_again")
     if not again.isEmpty():
         again = stored(again, "again")
@@ -336,6 +348,20 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     return out.toDF(*docs.columns)
 
 
+def _with_sets(docs: DataFrame, text_col: str, k: int) -> DataFrame:
+    """The documents with `_set` and `_set2`, together the key of the text's set."""
+    columns = docs.columns
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            texts = texts_of(batch.column(text_col))
+            keys = [set_key(s) for a, b in groups(texts) for s in shingle_sets(texts[a:b], k)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *(pa.array([x[i] for x in keys], pa.int64()) for i in range(2))], names=[*columns, "_set", "_set2"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return docs.mapInArrow(scan, f"{schema}, _set bigint, _set2 bigint")
+
+
 ORACLE = r"""
 WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS MATERIALIZED (SELECT DISTINCT r, array_to_string(w[p:p + least(4, len(w)) - 1], ' ') AS g FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS p FROM d WHERE len(w) > 0)),

@@ -90,3 +90,10 @@ def test_empty_and_single(spark):
     assert neardup.near_duplicates(docs).collect() == []
     one = spark.createDataFrame([(9, "a b c")], "doc_id bigint, text string")
     assert [tuple(r) for r in neardup.near_duplicates(one).collect()] == [(9, 1, 9, True)]
+
+
+def test_an_id_with_a_copy_keeps_its_own_text(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(3, b), (7, a), (7, b), (7, a), (7, ""), (8, b), (8, b), (9, c), (9, b + " more"), (None, b)]
+    got = neardup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(3, b), (7, a), (7, ""), (9, c), (None, b)], key=str)
