@@ -433,7 +433,9 @@ def fts_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_BM25.replace("SELECT doc_id, round(", "SELECT doc_id FROM (SELECT doc_id, round(") + ")")
 def fts_any_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lake(spark, sf_dir).sql("SELECT doc_id FROM lance_fts(lake.documents, 'text', 'idiot OR license OR rights', k => 1000000)").frame
+    from .operators.search import bm25
+
+    return bm25(lake(spark, sf_dir).table("lake.documents"), ["text"], "idiot OR license OR rights").select("doc_id")
 
 
 @query()

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import InvalidStatement
@@ -14,7 +14,7 @@ from ..functions.vectors import distance
 
 #: Fixed values of the BM25 and reciprocal-rank formulas.
 K1, B, RANK_CONSTANT = 1.2, 0.75, 60
-#: Rows of either ranking that a hybrid search fuses: this many times k, and this many at least.
+#: Rows of either ranking from which a hybrid search takes its candidates: this many times k, and this many at least.
 POOL, LEAST_POOL = 4, 100
 
 
@@ -81,13 +81,22 @@ def text_search(df: DataFrame, column: str, query: str, k: int = 10, score: str
 
 
 def hybrid_search(df: DataFrame, vector_column: str, vector: list[float], text_column: str, query: str, k: int = 10, metric: str = "l2", score: str = "_hybrid_score") -> DataFrame:
-    """The k best rows by the sum of reciprocal ranks in a vector search and a text search, each to a depth of `pool` rows."""
-    pool = max(LEAST_POOL, POOL * k)
+    """The k best rows by the sum of reciprocal ranks in a vector search and a text search, each over all of its rows; ties by row.
+
+    A row beyond the first `pool` of both rankings has less than 2 / (RANK_CONSTANT + pool), which the first k rows of either
+    ranking exceed; so only rows within are candidates, and those are ranked exactly by counting the rows before them.
+    """
+    pool = max(LEAST_POOL, POOL * k, RANK_CONSTANT + 2 * k)
     rows = df.withColumn("_row", F.monotonically_increasing_id())
-    near = vector_search(rows, vector_column, vector, pool, metric)
-    # Both rankings are a few rows by now, so they are ranked in one place.
-    near = near.withColumn("_part", 1 / (RANK_CONSTANT + F.row_number().over(Window.orderBy("_distance", "_row")))).drop("_distance")
-    best = text_search(rows, text_column, query, pool)
-    best = best.withColumn("_part", 1 / (RANK_CONSTANT + F.row_number().over(Window.orderBy(F.col("_score").desc(), "_row")))).drop("_score")
-    both = near.unionByName(best).groupBy("_row").agg(F.sum("_part").alias(score), *(F.first(c).alias(c) for c in df.columns))
-    return both.orderBy(F.col(score).desc(), "_row").limit(k).select(*df.columns, score)
+    near = rows.select("_row", distance(F.col(vector_column), vector, metric).cast("float").alias("_by")).filter(F.col("_by").isNotNull())
+    best = bm25(rows, [text_column], query, score="_score").select("_row", (-F.col("_score")).alias("_by"))
+    first = [x.orderBy("_by", "_row").limit(pool).select("_row") for x in (near, best)]
+    candidates = F.broadcast(first[0].union(first[1]).distinct())
+
+    def parts(ranking: DataFrame) -> DataFrame:
+        own = F.broadcast(ranking.join(candidates, "_row").select(F.col("_row").alias("_own"), F.col("_by").alias("_at")))
+        upto = (F.col("_by") < F.col("_at")) | ((F.col("_by") == F.col("_at")) & (F.col("_row") <= F.col("_own")))
+        return ranking.join(own, upto).groupBy("_own").agg((1 / (RANK_CONSTANT + F.count("*"))).alias("_part"))
+
+    both = parts(near).unionAll(parts(best)).groupBy("_own").agg(F.sum("_part").alias(score)).orderBy(F.col(score).desc(), "_own").limit(k)
+    return rows.join(F.broadcast(both), F.col("_row") == F.col("_own")).orderBy(F.col(score).desc(), "_row").select(*df.columns, score)
