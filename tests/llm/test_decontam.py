@@ -50,7 +50,22 @@ def test_against_brute_force(spark):
         got = sorted(tuple(r) for r in found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect())
         assert got == want
     kept = decontam.drop_contaminated(docs, bench)
-    assert kept.columns == docs.columns and kept.count() == sum(not w[-1] for w in want)
+    assert kept.columns == docs.columns and kept.count() == sum(w[2] == 0 for w in want)
+
+
+def test_planted_passages_go_however_long_the_text(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    make = lambda n: " ".join(word() for _ in range(n))
+    items = [(i, make(n)) for i, n in enumerate((20, 13, 40, 9))]
+    rows, planted = [], set()
+    for i in range(40):
+        n, item = rng.choice([30, 400, 5000]), items[i % 4][1]
+        if i % 2:
+            planted.add(i)
+        rows.append((i, f"{make(n)} {item if i % 2 else make(30)} {make(n)}"))
+    docs, bench = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    assert {r.doc_id for r in decontam.drop_contaminated(docs, bench).collect()} == set(range(40)) - planted
 
 
 def test_empty_tables(spark):

@@ -15,7 +15,7 @@ def test_each_stage_keeps_what_its_operator_says(spark):
         "language": lambda d: {r.doc_id for r in langid.identify(d).collect() if not r.lang_rejected},
         "toxicity": lambda d: {r.doc_id for r in toxicity.score_toxicity(d, spark.read.parquet(f"{SF}/labels.parquet")).collect() if r.toxicity < 0.5},
         "near_duplicates": lambda d: {r.doc_id for r in neardup.near_duplicates(d).collect() if r.kept},
-        "decontamination": lambda d: {r.doc_id for r in decontam.report(decontam.find_overlaps(d, spark.read.parquet(f"{SF}/benchmark.parquet"))).collect() if not r.contaminated},
+        "decontamination": lambda d: {r.doc_id for r in decontam.report(decontam.find_overlaps(d, spark.read.parquet(f"{SF}/benchmark.parquet"))).collect() if r.n_hit == 0},
     }
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, SF)
