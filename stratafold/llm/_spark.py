@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,6 +14,7 @@ from contextvars import ContextVar
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: crc32 of the id as text modulo this; documents with remainder 0 are held out of training.
 FOLDS = 5
@@ -20,9 +22,11 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; only where it is unset (tests), a local one."""
+    """The folder that spark.checkpoint.dir names; a local one only where it is unset and all of Spark is one process (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no folder: on a cluster, tables between steps need one that all machines share")
         root = tempfile.mkdtemp(prefix="stratafold-")
         spark.conf.set("spark.checkpoint.dir", root) if spark.conf.isModifiable("spark.checkpoint.dir") else None
         spark.sparkContext.setCheckpointDir(root)
@@ -53,9 +57,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 @contextmanager
 def scratch() -> Iterator[Callable[..., None]]:
-    """Tables that are stored within go at its end, but for those given to the function it yields."""
+    """Tables that are stored within go at its end, but for those given to the function it yields; these belong to the scratch() around it."""
     made: dict[int, tuple[DataFrame, str]] = {}
-    token = _scratch.set(made)
+    around, token = _scratch.get(), _scratch.set(made)
     kept: set[int] = set()
     try:
         yield lambda *frames: kept.update(map(id, frames))
@@ -64,6 +68,8 @@ def scratch() -> Iterator[Callable[..., None]]:
         for key, (df, path) in made.items():
             if key not in kept:
                 drop(path, df.sparkSession)
+            elif around is not None:
+                around[key] = df, path
 
 
 def drop(path: str, spark: SparkSession) -> None:
@@ -107,11 +113,21 @@ def input_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def unnamed(df: DataFrame) -> DataFrame:
+    """The frame with columns _in0, _in1, ..., so that names of our own clash with none of its."""
+    return df.toDF(*(f"_in{i}" for i in range(len(df.columns))))
+
+
+def with_fields(schema: T.StructType, more: str) -> T.StructType:
+    """A schema and further columns, declared as in `a bigint, b string`."""
+    return T.StructType([*schema.fields, *T._parse_datatype_string(more).fields])
+
+
 def kept(docs: DataFrame, run: Callable[..., DataFrame], keep: Column, **columns: str) -> DataFrame:
     """The rows of `docs` for which `keep` holds after run(docs, **columns), with the columns of `docs` and no others.
 
     run() sees columns under names of our own, so those it adds clash with none.
     """
-    inner = docs.toDF(*(f"_in{i}" for i in range(len(docs.columns))))
+    inner = unnamed(docs)
     names = {k: inner.columns[docs.columns.index(c)] for k, c in columns.items()}
     return run(inner, **names).filter(keep).select(*inner.columns).toDF(*docs.columns)

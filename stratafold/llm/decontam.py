@@ -3,16 +3,18 @@
 Every item and every document is cut into words; k-gram hashes are winnowed: of each w consecutive k-grams the one with
 the smallest hash (the rightmost on ties) is a fingerprint.  With w + k - 1 equal to the window length, any run of words
 that has the length of a window and stands in both texts contains a common fingerprint.  Document fingerprints are joined
-with item fingerprints by hash inside the scan, and each hit is extended: all windows around it are looked up
+with item fingerprints by hash, and each hit is extended: all windows around it are looked up
 among the items' windows, and confirmed word by word.  Items shorter than the window get a class of their own with a window of
 their length, so that they are found too.
 
-The items' side is broadcast in blocks of bounded size: items are dealt to as many blocks as keep each within
-`block_bytes` of text, and the document scan runs once through each block.  The documents' side is never shuffled.
+Items of up to `block_bytes` of text are one broadcast index, and the join runs inside the scan, without a shuffle.  Beyond that the items stay
+distributed: bit arrays of their fingerprints and windows (_bits, of bounded size) pick the documents' windows around a common fingerprint, and
+those are joined with the items' windows by hash and words, in a shuffle whose size follows the hits.  A document's row is found again by its text's
+hash; only rows with hits move.  Both ways give the same results.
 
 Edge cases: a null text has no words, and is never contaminated; an item with null text or without words
 has no window; an item with a null id marks words, but isn't counted or listed; repeated documents each get a row;
-repeated item ids count once; columns besides those named are passed by.
+repeated item ids count once; columns besides those named are passed by, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,18 +22,22 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._spark import kept, sliced, texts_of
-from ._text import ALNUM, Words, gram_hashes, groups
+from ._bits import is_marked, marked
+from ._spark import kept, sliced, stored, texts_of, unnamed, with_fields
+from ._text import ALNUM, Words, gram_hashes, groups, mix64
 
 WINDOW = 13
 #: Words of a fingerprinted k-gram; fewer for items shorter than that.
 GRAM = 5
-#: Most bytes of item text in a broadcast block.
-BLOCK_BYTES = 16 << 20
+#: Most bytes of item text that are broadcast as an index.
+BLOCK_BYTES = 8 << 20
+#: A word, before lower-casing.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 SPANS = "array<struct<start:bigint,end:bigint>>"
 FOUND = f"n_words bigint, spans {SPANS}, item_ids array<string>"
@@ -107,9 +113,7 @@ class Index:
             hits = hits[_member(grams[hits], c.prints)]
             if not len(hits):
                 continue
-            starts = np.unique((hits[:, None] - np.arange(c.w)).ravel())
-            starts = starts[(starts >= 0) & (starts + c.length <= len(words.hashes))]
-            starts = starts[owner[starts] == owner[starts + c.length - 1]]
+            starts = _around(hits, c, words, owner)
             x = _grams_at(words.hashes, starts, c.length)
             at = np.minimum(np.searchsorted(c.grams, x), len(c.grams) - 1)
             ok = c.grams[at] == x
@@ -144,52 +148,134 @@ def merge_spans(spans) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str | None, bytes | None]]]:
-    """The items in blocks of about `block_bytes` of text, one block at a time on the driver."""
-    rows = items.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).filter("t is not null")
-    n = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    blocks = max(1, -(-n // block_bytes))
-    for b in range(blocks):
-        part = rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b) if blocks > 1 else rows
-        yield [(r.i, r.t.encode()) for r in part.toLocalIterator()]
-
-
 def find_overlaps(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents with all their columns, and n_words, spans (of hit words) and item_ids (as strings, sorted).
 
     Columns of those names in `docs` are replaced.
     """
-    spark: SparkSession = docs.sparkSession
     docs = docs.drop("n_words", "spans", "item_ids")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    out = docs
-    for k, block in enumerate(item_blocks(items, item_id, item_text, block_bytes)):
-        index = spark.sparkContext.broadcast(Index(block, window))
-        out = out.mapInArrow(_scan(index, text_col, bool(k)), f"{schema}, {FOUND}")
-    return out
+    inner, text = unnamed(docs), f"_in{docs.columns.index(text_col)}"
+    rows = items.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).filter("t is not null")
+    size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    found = _in_scan(inner, rows, text, window) if size <= block_bytes else _joined(inner, rows, text, window)
+    return found.toDF(*docs.columns, "n_words", "spans", "item_ids")
 
 
-def _scan(index, text_col: str, again: bool):
+def _in_scan(docs: DataFrame, rows: DataFrame, text_col: str, window: int) -> DataFrame:
+    """With the items' index broadcast; the caller bounds their text."""
+    index = docs.sparkSession.sparkContext.broadcast(Index([(r.i, r.t.encode()) for r in rows.toLocalIterator()], window))
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            others = batch.select([c for c in batch.schema.names if not again or c not in ("n_words", "spans", "item_ids")])
             texts = texts_of(batch.column(text_col))
-            before = zip(batch.column("spans").to_pylist(), batch.column("item_ids").to_pylist(), strict=True) if again else iter(())
             n_words, spans, items = [], [], []
             for a, b in groups(texts):
                 for n, s, i in index.value.find(texts[a:b]):
-                    if again:
-                        s0, i0 = next(before)
-                        s, i = merge_spans([*s, *((x["start"], x["end"]) for x in s0)]), sorted({*i, *i0})
                     n_words.append(n)
                     spans.append([{"start": x, "end": y} for x, y in s])
                     items.append(i)
             yield pa.RecordBatch.from_arrays(
-                [*others.columns, pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(items, pa.list_(pa.string()))],
-                names=[*others.schema.names, "n_words", "spans", "item_ids"],
+                [*batch.columns, pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(items, pa.list_(pa.string()))],
+                names=[*batch.schema.names, "n_words", "spans", "item_ids"],
             )
 
-    return scan
+    return docs.mapInArrow(scan, with_fields(docs.schema, FOUND))
+
+
+def _key(hashes: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of different lengths told apart, as the bit arrays take them."""
+    return mix64(hashes + np.uint64(length) * np.uint64(0x9E3779B97F4A7C15)).astype(np.int64)
+
+
+def _item_windows(rows: DataFrame, window: int) -> DataFrame:
+    """length, key and words of the items' windows and i, the item's id; rows without words are fingerprints."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            ids, texts = batch.column(0).to_pylist(), texts_of(batch.column(1))
+            for a, b in groups(texts):
+                words = Words(texts[a:b], ALNUM)
+                length, key, said, item = [], [], [], []
+                for i in range(b - a):
+                    start, stop = int(words.at[i]), int(words.at[i + 1])
+                    n = min(window, stop - start)
+                    if not n:
+                        continue
+                    c, h = _Class(n), words.hashes[start:stop]
+                    prints = gram_hashes(h, c.k)
+                    prints = np.unique(prints[winnow(prints, c.w)])
+                    grams = gram_hashes(h, n)
+                    key += [_key(prints, n), _key(grams, n)]
+                    length += [n] * (len(prints) + len(grams))
+                    said += [None] * len(prints) + [b" ".join(words.strings(p, p + n)) for p in range(start, start + len(grams))]
+                    item += [ids[a + i]] * (len(prints) + len(grams))
+                yield pa.RecordBatch.from_arrays([pa.array(length, pa.int32()), pa.array(np.concatenate(key) if key else [], pa.int64()), pa.array(said, pa.binary()), pa.array(item, pa.string())], names=["length", "key", "words", "i"])
+
+    return rows.mapInArrow(scan, "length int, key bigint, words binary, i string")
+
+
+def _joined(docs: DataFrame, rows: DataFrame, text_col: str, window: int) -> DataFrame:
+    """With the items distributed, by joins on what bit arrays of their fingerprints and windows let through."""
+    sc = docs.sparkSession.sparkContext
+    held = stored(_item_windows(rows, window), "items")
+    prints, windows = stored(held.filter("words is null").select("length", "key").distinct(), "prints"), stored(held.filter("words is not null").distinct(), "windows")
+    classes = [_Class(r.length) for r in prints.select("length").distinct().orderBy("length").collect()]  # `window` at most
+    known = sc.broadcast((marked(prints.select("key")), marked(stored(windows.select("key").distinct(), "keys"))))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            names, texts = batch.column(0).to_pylist(), texts_of(batch.column(1))
+            for a, b in groups(texts):
+                words = Words(texts[a:b], ALNUM)
+                owner = words.owner()
+                for c in classes:
+                    grams = gram_hashes(words.hashes, c.k)
+                    if not len(grams):
+                        continue
+                    hits = winnow(grams, c.w)
+                    starts = _around(hits[is_marked(known.value[0], _key(grams[hits], c.length))], c, words, owner)
+                    keys = _key(_grams_at(words.hashes, starts, c.length), c.length)
+                    on = is_marked(known.value[1], keys)
+                    starts, keys = starts[on].tolist(), keys[on]
+                    if not starts:
+                        continue
+                    of = owner[starts].tolist()
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([names[a + i] for i in of], pa.string()), pa.array([s - int(words.at[i]) for s, i in zip(starts, of, strict=True)], pa.int64()), pa.array([c.length] * len(starts), pa.int32()),
+                         pa.array(keys, pa.int64()), pa.array([b" ".join(words.strings(s, s + c.length)) for s in starts], pa.binary())],
+                        names=["doc", "start", "length", "key", "words"],
+                    )
+
+    named = docs.filter(F.col(text_col).isNotNull()).select(F.md5(F.col(text_col).cast("binary")).alias("doc"), text_col)
+    # Copies of a text give its windows once.
+    met = stored(named.mapInArrow(scan, "doc string, start bigint, length int, key bigint, words binary").distinct(), "met")
+    found = stored(met.join(windows, ["length", "key", "words"]).select("doc", "start", (F.col("start") + F.col("length")).alias("end"), "i"), "found")
+    order = Window.partitionBy("doc").orderBy("start", "end")
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    runs = found.select("doc", "start", "end").distinct().withColumn("fresh", F.coalesce(F.col("start") > before, F.lit(True)).cast("int"))
+    runs = runs.withColumn("run", F.sum("fresh").over(order)).groupBy("doc", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    spans = runs.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    ids = found.filter("i is not null").select("doc", "i").distinct().groupBy("doc").agg(F.sort_array(F.collect_list("i")).alias("item_ids"))
+    hits = stored(spans.join(ids, "doc", "left").withColumnRenamed("doc", "_doc"), "hits")
+    bits = sc.broadcast(marked(hits.select(F.xxhash64("_doc").alias("key"))))
+
+    @F.pandas_udf("boolean")
+    def hit(hashed: pd.Series) -> pd.Series:
+        return pd.Series(is_marked(bits.value, hashed.to_numpy()))
+
+    columns = docs.columns
+    counted = docs.withColumn("n_words", F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint")).withColumn("_key", F.md5(F.col(text_col).cast("binary")))
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in hits.schema.fields[1:]]
+    may = F.col("_key").isNotNull() & hit(F.xxhash64("_key"))
+    out = counted.filter(~may).select(*columns, "n_words", *none).unionAll(counted.filter(may).join(hits, F.col("_key") == F.col("_doc"), "left").select(*columns, "n_words", "spans", "item_ids"))
+    return out.select(*columns, "n_words", *(F.coalesce(c, F.array().cast(hits.schema[c].dataType)).alias(c) for c in ("spans", "item_ids")))
+
+
+def _around(hits: np.ndarray, c: _Class, words: Words, owner: np.ndarray) -> np.ndarray:
+    """The starts of the windows that hold one of these fingerprints, each within one text."""
+    starts = np.unique((hits[:, None] - np.arange(c.w)).ravel())
+    starts = starts[(starts >= 0) & (starts + c.length <= len(words.hashes))]
+    return starts[owner[starts] == owner[starts + c.length - 1]]
 
 
 def report(found: DataFrame) -> DataFrame:

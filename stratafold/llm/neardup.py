@@ -14,11 +14,12 @@
 A pair at similarity 0.8 misses all of 32 bands of 4 bins with probability 5e-8, one at 0.9 with 1e-15.  Nothing is capped.  Groups of copies are
 aggregated on the map side, hubs' members are dealt out by salted keys, and joins on bucket and component keys read stored tables, so that adaptive
 execution can split hot keys.  Shared buckets, and the texts in
-them whose full sets are built, are picked by bit arrays of fixed size before anything is shuffled by them.
+them whose full sets are built, are picked by bit arrays, sized by what they hold, before anything is shuffled by them.
 
 Edge cases: a text without words, or null, has no shingles and links with nothing; fewer words than a shingle make one shingle; rows with a null id
 link with nothing and are kept, with a null component; nodes are texts, so rows that repeat an id with another text are told apart, and
-repeated rows get the same result; sets are compared by 64-bit shingle hashes.
+repeated rows get the same result; shingles are compared by 64-bit hashes, and rows are taken as one set by 128 bits of it; full sets are looked up by 64
+of these. Columns besides those named are passed by, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,14 +33,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._spark import scratch, sliced, stored, texts_of
+from ._bits import is_marked, marked
+from ._spark import scratch, sliced, stored, texts_of, unnamed, with_fields
 from ._text import NONSPACE, Words, gram_hashes, groups, mix64
 
 SHINGLE, PERCENT = 4, 80
 BANDS, ROWS = 32, 4
 BINS = BANDS * ROWS
-#: Bits of the array that picks texts in shared buckets; more texts than it can tell apart only cost time.
-BITS = 1 << 24
 #: Shingles of the members that are held against a copy of their hub in one task.
 DEALT = 1 << 15
 _U = np.uint64
@@ -113,8 +113,8 @@ def _full_sets(docs: DataFrame, id_col: str, text_col: str, k: int, wanted: np.n
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # rows that are repeated give their set once a task
         for batch in sliced(batches):
-            marked = np.flatnonzero(_is_marked(bits.value, batch.column(0).to_numpy()))
-            texts = texts_of(batch.column(1).take(pa.array(marked)))
+            here = np.flatnonzero(is_marked(bits.value, batch.column(0).to_numpy()))
+            texts = texts_of(batch.column(1).take(pa.array(here)))
             for a, b in groups(texts):
                 node, sets = [], []
                 for s in shingle_sets(texts[a:b], k):
@@ -140,20 +140,6 @@ def _once(sets: DataFrame) -> DataFrame:
     return stored(sets.join(again, "node", "left_anti").unionAll(twice), "sets")
 
 
-def _marked(keys: DataFrame) -> np.ndarray:
-    """A bit array with a bit for each value of `key`. BITS / 32 rows come to the driver at most."""
-    words = keys.groupBy(F.expr(f"shiftright(key & {BITS - 1}, 5)").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(key & 31 as int))")).alias("b"))
-    out = np.zeros(BITS // 32, np.uint32)
-    got = np.array([tuple(r) for r in words.collect()], np.int64).reshape(-1, 2)
-    out[got[:, 0]] = got[:, 1].astype(np.uint32)
-    return out.view(np.uint8)
-
-
-def _is_marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    p = keys & (BITS - 1)
-    return (bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
-
-
 def _in_bands(nodes: DataFrame, wanted: np.ndarray) -> DataFrame:
     """band, node and n, for the bands marked in `wanted` (and a few more)."""
     bits = nodes.sparkSession.sparkContext.broadcast(wanted)
@@ -161,7 +147,7 @@ def _in_bands(nodes: DataFrame, wanted: np.ndarray) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat = batch.column(2).flatten().to_numpy()
-            at = np.flatnonzero(_is_marked(bits.value, flat))
+            at = np.flatnonzero(is_marked(bits.value, flat))
             row = pa.array(at // BANDS)
             yield pa.RecordBatch.from_arrays([pa.array(flat[at]), batch.column(0).take(row), batch.column(1).take(row)], names=["band", "node", "n"])
 
@@ -227,7 +213,7 @@ def _decided(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent:
         bands = nodes.select(F.explode("bands").alias("band"))
         shared = stored(bands.groupBy("band").agg(F.count("*").alias("c")).filter("c > 1"), "shared")
         # Bands of one node alone are most of them; those that the bit array knows for such aren't shuffled again.
-        members = stored(_in_bands(nodes, _marked(shared.select(F.col("band").alias("key")))).join(shared, "band"), "members")
+        members = stored(_in_bands(nodes, marked(shared.select(F.col("band").alias("key")))).join(shared, "band"), "members")
         edges = _links(docs, nodes, members, id_col, text_col, shingle, percent)
         if edges is None:
             smallest = stored(nodes.select("node", "key2", "n", F.col("id").alias("component_id")), "smallest")
@@ -247,8 +233,8 @@ def _links(docs: DataFrame, nodes: DataFrame, members: DataFrame, id_col: str, t
     """Confirmed links (a, b), enough to connect all that is linked; None if there are none."""
     if members.isEmpty():
         return None
-    first = nodes.join(members.select("node").distinct(), "node", "left_semi").select(F.xxhash64("id").alias("key"))
-    sets = _once(stored(_full_sets(docs, id_col, text_col, shingle, _marked(first)), "sets"))
+    first = stored(nodes.join(members.select("node").distinct(), "node", "left_semi").select(F.xxhash64("id").alias("key")), "first")
+    sets = _once(stored(_full_sets(docs, id_col, text_col, shingle, marked(first)), "sets"))
     # Stars: in each bucket, from the member with most company to the others.
     degree = stored(members.groupBy("node").agg(F.sum("c").alias("weight")), "degree")
     weighed = stored(members.join(degree, "node").select("band", "node", "n", "weight"), "weighed")
@@ -283,11 +269,11 @@ def _prefix_pairs(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame |
     """
     if left.isEmpty():
         return None
-    wanted = left.sparkSession.sparkContext.broadcast(_marked(left.select(F.col("node").alias("key"))))
+    wanted = left.sparkSession.sparkContext.broadcast(marked(left.select(F.col("node").alias("key"))))
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = np.flatnonzero(_is_marked(wanted.value, batch.column(0).to_numpy()))
+            at = np.flatnonzero(is_marked(wanted.value, batch.column(0).to_numpy()))
             part = batch.take(pa.array(at))
             sizes = part.column(1).value_lengths().to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), sizes)), part.column(1).flatten()], names=["node", "x"])
@@ -320,18 +306,18 @@ def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component, the one with the smallest id, with the columns of `docs`; of repeated rows, one."""
-    inner = docs.toDF(*(f"_in{i}" for i in range(len(docs.columns))))
+    inner = unnamed(docs)
     key, text = (inner.columns[docs.columns.index(c)] for c in (id_col, text_col))
     marks = stored(_decided(inner, key, text, SHINGLE, PERCENT).filter("id is not null").select(F.col("id").alias(key), "node", "key2", "kept"), "marks")
     gone = stored(marks.groupBy(F.col(key).alias("_gone")).agg(F.bool_or("kept").alias("_some"), F.bool_and("kept").alias("_all")).filter("not _all").select("_gone", "_some"), "gone")
-    bits = inner.sparkSession.sparkContext.broadcast(_marked(gone.select(F.xxhash64("_gone").alias("key"))))
+    bits = inner.sparkSession.sparkContext.broadcast(marked(gone.select(F.xxhash64("_gone").alias("key"))))
 
     @F.pandas_udf("boolean")
-    def marked(hashed: pd.Series) -> pd.Series:
-        return pd.Series(_is_marked(bits.value, hashed.to_numpy()))
+    def known(hashed: pd.Series) -> pd.Series:
+        return pd.Series(is_marked(bits.value, hashed.to_numpy()))
 
     # Only rows that the bit array knows are shuffled to be looked up; all others stay where they are.
-    may_go = F.col(key).isNotNull() & marked(F.xxhash64(F.col(key).cast("bigint")))
+    may_go = F.col(key).isNotNull() & known(F.xxhash64(F.col(key).cast("bigint")))
     out = inner.filter(~may_go).unionAll(inner.filter(may_go).join(gone, F.col(key) == F.col("_gone"), "left_anti"))
     # An id with texts of both kinds loses only those that aren't kept, so its rows are looked up by their sets too.
     mixed = gone.filter("_some").select("_gone")
@@ -358,8 +344,7 @@ def _with_sets(docs: DataFrame, text_col: str, k: int) -> DataFrame:
             keys = [set_key(s) for a, b in groups(texts) for s in shingle_sets(texts[a:b], k)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *(pa.array([x[i] for x in keys], pa.int64()) for i in range(2))], names=[*columns, "_set", "_set2"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(scan, f"{schema}, _set bigint, _set2 bigint")
+    return docs.mapInArrow(scan, with_fields(docs.schema, "_set bigint, _set2 bigint"))
 
 
 ORACLE = r"""
