@@ -3,19 +3,26 @@
 A text is a bag of character bigrams and trigrams of its lower-cased letters (any run of other characters counts as one
 boundary), hashed to a fixed number of features.  Counts are damped, weighted by inverse document frequency and scaled to
 length one.  Each language has several centroids, from spherical k-means over its training texts; the prediction is the
-language of the centroid with the largest cosine, and the score is that cosine.  A text is rejected when it has no letter,
-or when its largest cosine is below the learned floor: the least similarity that nearly all training texts reach, less a margin.
+language of the centroid with the largest cosine, and the score is that cosine.
 
-The model is fitted on a bounded sample of labelled rows (`per_language` texts of each language, none longer than `longest`
-bytes, chosen by a hash of id and text); prediction reads all texts whole, in one pass without a shuffle.
+A text is rejected when it has no letter, or when it is too far from the nearest centroid: its cosine is below the floor of the language predicted
+for texts of its length.  Short texts share few n-grams with any centroid, so floors are learnt by class of length.  They come from texts that
+the centroids haven't seen: those of either half of a language's sample are compared with centroids of the other half, and the floor is a low
+quantile of their cosines, less a margin.  A class of length with too few texts has the floor of the next shorter one, or none.
+
+The model is fitted on a bounded sample of labelled rows: the `languages` most frequent labels, `per_language` texts of each and `texts` of all
+together, none longer than `longest` bytes, chosen by a hash of id and text.  Of these the driver holds n-gram counts, and one language's vectors at a
+time.  Prediction reads all texts whole, in one pass without a shuffle; the model is broadcast, of 4 * CENTROIDS * FEATURES bytes a language.
 
 Edge cases: a null text, or one without letters, is `und` with score 0 and rejected; rows with a null language don't train; a null
-id counts as held out; with no training rows at all, every text is `und`; repeated rows get a row each.
+id counts as held out; with no training rows at all, every text is `und`; repeated rows get a row each; columns besides those named are
+passed by, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -23,16 +30,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import fold, kept, sliced, texts_of
+from ._spark import fold, kept, sliced, texts_of, unnamed, with_fields
 from ._text import groups
 
 FEATURES = 1 << 13
-#: Training texts of each language, the bytes of the longest, and most languages.
-PER_LANGUAGE = 600
-LONGEST = 20_000
+#: Training texts of a language, of all languages, and the bytes of the longest; the most frequent languages that are learnt.
+PER_LANGUAGE, TEXTS, LONGEST, LANGUAGES = 600, 9600, 20_000, 400
 CENTROIDS = 4
-#: Training texts that may fall below the floor, and how far below it a text may still lie.
-QUANTILE, MARGIN = 0.002, 0.6
+#: Where classes of length begin, in n-grams, and texts that a class needs for a floor of its own.
+LENGTHS, LEAST = (0, 32, 128, 512), 20
+#: The quantile of unseen texts' cosines, and the share of it that is the floor.
+QUANTILE, MARGIN = 0.002, 0.85
 UNKNOWN = "und"
 
 
@@ -71,27 +79,33 @@ def features(texts: list[bytes | None], size: int = FEATURES) -> tuple[np.ndarra
     return out, letters
 
 
-class Model:
-    """Centroids of the languages. `floor` is the least cosine that isn't rejected."""
+def length_class(ngrams: np.ndarray) -> np.ndarray:
+    return np.searchsorted(LENGTHS, ngrams, side="right") - 1
 
-    def __init__(self, langs: list[str], idf: np.ndarray, centroids: np.ndarray, owner: np.ndarray, floor: float) -> None:
-        self.langs, self.idf, self.centroids, self.owner, self.floor = langs, idf, centroids, owner, floor
 
-    def vectors(self, counts: np.ndarray) -> np.ndarray:
-        x = np.log1p(counts) * self.idf
-        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+class Model:
+    """Centroids of the languages. `floors`: the least cosine that isn't rejected, by language and class of length."""
+
+    def __init__(self, langs: list[str], idf: np.ndarray, centroids: np.ndarray, owner: np.ndarray, floors: np.ndarray) -> None:
+        self.langs, self.idf, self.centroids, self.owner, self.floors = langs, idf, centroids, owner, floors
 
     def predict(self, texts: list[bytes | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and whether rejected, of each text."""
         counts, letters = features(texts, len(self.idf))
         if not self.langs:
             return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
-        cos = self.vectors(counts) @ self.centroids.T
+        cos = vectors(counts, self.idf) @ self.centroids.T
         best = cos.argmax(axis=1)
         score = np.clip(cos[np.arange(len(texts)), best], 0, 1).astype(float)
         none = letters == 0
         score[none] = 0
-        return [UNKNOWN if n else self.langs[self.owner[b]] for n, b in zip(none, best, strict=True)], score, none | (score < self.floor)
+        floor = self.floors[self.owner[best], length_class(counts.sum(axis=1))]
+        return [UNKNOWN if n else self.langs[self.owner[b]] for n, b in zip(none, best, strict=True)], score, none | (score < floor)
+
+
+def vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    x = np.log1p(counts) * idf
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
 def _cluster(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
@@ -105,59 +119,81 @@ def _cluster(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12)
     return c
 
 
-def fit(rows: list[tuple[str, bytes]], size: int = FEATURES, centroids: int = CENTROIDS) -> Model:
-    """A model from (language, text) pairs."""
-    counts, letters = features([t for _, t in rows], size)
-    lang = np.array([g for g, _ in rows], object)
-    counts, lang = counts[letters > 0], lang[letters > 0]
-    langs = sorted(set(lang))
-    if not langs:
-        return Model([], np.ones(size, np.float32), np.zeros((0, size), np.float32), np.zeros(0, int), 0.0)
-    idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 1
-    model = Model(langs, idf, np.zeros((0, size), np.float32), np.zeros(0, int), 0.0)
-    x = model.vectors(counts)
-    rng = np.random.default_rng(7)
-    parts = [_cluster(x[lang == g], centroids, rng) for g in langs]
-    model.centroids = np.concatenate(parts)
-    model.owner = np.repeat(np.arange(len(langs)), [len(p) for p in parts])
-    model.floor = float(np.quantile((x @ model.centroids.T).max(axis=1), QUANTILE)) * MARGIN
-    return model
+def _floors(x: np.ndarray, classes: np.ndarray, centroids: int, rng: np.random.Generator) -> np.ndarray:
+    """Floors of a language by class of length, from halves that are held against each other's centroids."""
+    out, unseen = np.zeros(len(LENGTHS)), np.zeros(len(x))
+    if len(x) < 2:
+        return out
+    half = np.arange(len(x)) % 2
+    for h in (0, 1):
+        unseen[half == h] = (x[half == h] @ _cluster(x[half != h], centroids, rng).T).max(axis=1)
+    for c in range(len(LENGTHS)):
+        own = unseen[classes == c]
+        out[c] = np.quantile(own, QUANTILE) * MARGIN if len(own) >= LEAST else out[c - 1] if c else 0.0
+    return out
 
 
-def training_rows(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, per_language: int, longest: int) -> list[tuple[str, bytes]]:
-    """About `per_language` rows of each language, the same ones however the table is laid out."""
+def fit(rows: Iterable[tuple[str, bytes]], size: int = FEATURES, centroids: int = CENTROIDS) -> Model:
+    """A model from (language, text) pairs. Of the texts, their n-gram counts are held."""
+    held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = defaultdict(list)
+    seen, n = np.zeros(size, np.int64), 0
+    for lang, text in rows:
+        counts, letters = features([text], size)
+        if letters[0]:
+            at = np.flatnonzero(counts[0])
+            held[lang].append((at.astype(np.uint16 if size <= 1 << 16 else np.uint32), counts[0, at]))
+            seen[at] += 1
+            n += 1
+    langs = sorted(held)
+    idf = np.log((1 + n) / (1 + seen)).astype(np.float32) + 1
+    rng = np.random.default_rng(7)
+    parts, floors = [], []
+    for lang in langs:
+        counts = np.zeros((len(held[lang]), size), np.float32)
+        for i, (at, c) in enumerate(held.pop(lang)):
+            counts[i, at] = c
+        x = vectors(counts, idf)
+        parts.append(_cluster(x, centroids, rng))
+        floors.append(_floors(x, length_class(counts.sum(axis=1)), centroids, rng))
+    owner = np.repeat(np.arange(len(langs)), [len(p) for p in parts])
+    return Model(langs, idf, np.concatenate(parts) if parts else np.zeros((0, size), np.float32), owner, np.stack(floors) if floors else np.zeros((0, len(LENGTHS))))
+
+
+def training_rows(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, per_language: int, texts: int, languages: int, longest: int) -> Iterator[tuple[str, bytes]]:
+    """About `per_language` rows of each language, fewer if there would be over `texts` together; the same ones, in the same order, however the table is laid out."""
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (fold(F.col(id_col)) != 0) & (F.octet_length(text_col) <= longest))
     rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1 << 30)).alias("h"))
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    counts = rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(languages).collect()
     if not counts:
-        return []
-    share = F.lit(0)
-    for g, n in counts.items():
-        share = F.when(F.col("lang") == g, F.lit(min(1 << 30, -(-(1 << 30) * per_language // n)))).otherwise(share)
-    picked = rows.filter(F.col("h") < share).select("lang", "text", "h")
-    got = [(r.lang, r.h, r.text.encode()) for r in picked.toLocalIterator()]
-    return [(g, t) for g, _, t in sorted(got)]
+        return
+    each = max(1, min(per_language, texts // len(counts)))
+    shares = docs.sparkSession.createDataFrame([(r.lang, min(1 << 30, -(-(1 << 30) * each // r["count"]))) for r in counts], "lang string, below bigint")
+    picked = rows.join(F.broadcast(shares), "lang").filter("h < below").select("lang", "h", "text").orderBy("lang", "h", "text")
+    for r in picked.toLocalIterator():
+        yield r.lang, r.text.encode()
 
 
-def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, longest: int = LONGEST) -> DataFrame:
+def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, texts: int = TEXTS, languages: int = LANGUAGES, longest: int = LONGEST) -> DataFrame:
     """The documents with all their columns and lang_pred, lang_score and lang_rejected, in place of columns of those names."""
-    spark, docs = docs.sparkSession, docs.drop("lang_pred", "lang_score", "lang_rejected")
-    model = spark.sparkContext.broadcast(fit(training_rows(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, per_language=per_language, longest=longest)))
+    added = ("lang_pred", "lang_score", "lang_rejected")
+    spark, docs = docs.sparkSession, docs.drop(*added)
+    inner = unnamed(docs)
+    key, text, lang = (f"_in{docs.columns.index(c)}" for c in (id_col, text_col, lang_col))
+    model = spark.sparkContext.broadcast(fit(training_rows(inner, id_col=key, text_col=text, lang_col=lang, per_language=per_language, texts=texts, languages=languages, longest=longest)))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            texts = texts_of(batch.column(text_col))
+            found = texts_of(batch.column(text))
             lang, score, rejected = [], [], []
-            for a, b in groups(texts, 1 << 20):
+            for a, b in groups(found):
                 for c in range(a, b, 128):
-                    x, y, z = model.value.predict(texts[c : min(c + 128, b)])
+                    x, y, z = model.value.predict(found[c : min(c + 128, b)])
                     lang += x
                     score += y.tolist()
                     rejected += z.tolist()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=[*batch.schema.names, "lang_pred", "lang_score", "lang_rejected"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=[*batch.schema.names, *added])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(scan, f"{schema}, lang_pred string, lang_score double, lang_rejected boolean")
+    return inner.mapInArrow(scan, with_fields(inner.schema, "lang_pred string, lang_score double, lang_rejected boolean")).toDF(*docs.columns, *added)
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:

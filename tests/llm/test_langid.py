@@ -27,6 +27,24 @@ def test_held_out_rows_are_recognised(spark, tmp_path):
     assert kept.columns == docs.columns and kept.count() == len(rows) + len(odd) - 3
 
 
+def test_a_language_that_was_not_learnt_is_rejected(spark):
+    learnt = [(i, text(g, i), g) for i, g in enumerate(["en", "de"] * 150)]
+    unknown = [(10_000 + i, text("fr", i), None) for i in range(150)]
+    docs = spark.createDataFrame(learnt + unknown, "doc_id bigint, text string, lang string")
+    got = {r.doc_id: r for r in langid.identify(docs).collect()}
+    assert sum(got[i].lang_rejected for i, _, _ in learnt) <= 3  # a quantile of 0.002, less a margin
+    assert sum(got[i].lang_rejected for i, _, _ in unknown) > 140
+    kept = {r.doc_id for r in langid.drop_unknown(docs).collect()}
+    assert kept == {i for i, r in got.items() if not r.lang_rejected}
+
+
+def test_the_sample_is_bounded_by_languages_and_texts(spark):
+    docs = spark.createDataFrame([(i, text("en", i), f"l{i % 10}" if i < 900 else "rare") for i in range(910)], "doc_id bigint, text string, lang string")
+    rows = list(langid.training_rows(docs, id_col="doc_id", text_col="text", lang_col="lang", per_language=600, texts=100, languages=10, longest=1000))
+    assert {g for g, _ in rows} == {f"l{i}" for i in range(10)} and 40 < len(rows) < 200
+    assert rows == list(langid.training_rows(docs.repartition(7), id_col="doc_id", text_col="text", lang_col="lang", per_language=600, texts=100, languages=10, longest=1000))
+
+
 def test_without_training_rows(spark):
     docs = spark.createDataFrame([(0, "abc", None)], "doc_id bigint, text string, lang string")
     (r,) = langid.identify(docs).collect()
