@@ -31,11 +31,53 @@ def test_the_hosts_path_wins(spark):
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, main_text string")
     got = {r.page_id: r.main_text for r in extract.extract(pages).collect()}
     assert got[9] == "The article." and got[10].startswith("words of") and got[0].startswith("words of") and got[11] == "a" and got[None] == "" and got[12] == "no box"
-    extract.BROADCAST_ROWS, before = 0, extract.BROADCAST_ROWS
+    extract.BROADCAST_BYTES, before = 0, extract.BROADCAST_BYTES
     try:
         assert {r.page_id: r.main_text for r in extract.extract(pages).collect()} == got
     finally:
-        extract.BROADCAST_ROWS = before
+        extract.BROADCAST_BYTES = before
+
+
+def test_names_of_other_columns_may_be_ours(spark):
+    pages = spark.createDataFrame([(1, "http://h/", "<p>a</p>", "x", "y", "z")], "page_id bigint, url string, html string, _host string, _path string, _in0 string")
+    (r,) = extract.extract(pages).collect()
+    assert r.asDict() == {"page_id": 1, "url": "http://h/", "_host": "x", "_path": "y", "_in0": "z", "main_text": "a"}
+
+
+def test_parts_of_an_article_stay():
+    body = "<p>" + "Some sentences of the article stand here. " * 5 + "</p>"
+    stay = {
+        "We prove <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.": "We prove x=2 holds.",
+        "<svg><title>t</title><text>label one</text></svg> shown.": "label one shown.",
+        "<object data=x><p>Read the table instead.</p></object>": "Read the table instead.",
+        '<div class="search-results"><p>Ten searches were made, and two of them found what was lost.</p></div>': "Ten searches were made, and two of them found what was lost.",
+        '<section id="related-work"><p>Others have measured the same rivers before.</p></section>': "Others have measured the same rivers before.",
+        '<p data-class="menu" data-id="ad">Kept.</p>': "Kept.",
+    }
+    go = ['<div class="share"><a href=a>Mail</a> <a href=b>Print</a></div>', '<ul class="tags"><li>rivers<li>floods</ul>', '<div class="related"><a href=x>Another article that you might like to read, surely.</a></div>', '<div class="ad">Buy.</div>', '<div class="cookie-notice">We use cookies.</div>']
+    for inner, want in stay.items():
+        assert own(f"<article>{body}{inner}{body}</article>").split("\n")[1] == want, inner
+    for inner in go:
+        assert own(f"<article>{body}{inner}{body}</article>").count("\n") == 1, inner
+    assert "found" not in own(f'<main>{body}</main><div class="search-results"><p>They found it.</p></div>')
+
+
+def test_deep_pages_take_time_and_memory_in_proportion():
+    import time
+    import tracemalloc
+
+    def cost(n: int) -> tuple[float, int]:
+        tracemalloc.start()
+        began = time.perf_counter()
+        page = Page("<div><p>x" * n + "<li>y" * n + "<a>z" * n)
+        text = page.text(page.best()[0])
+        spent, (_, peak) = time.perf_counter() - began, tracemalloc.get_traced_memory()
+        tracemalloc.stop()
+        assert text
+        return spent, peak
+
+    (a, b), (c, d) = cost(2000), cost(16000)
+    assert c < 24 * max(a, 0.05) and d < 16 * b
 
 
 def test_empty_table(spark):
