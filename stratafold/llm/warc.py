@@ -5,14 +5,20 @@ with the largest id is written whole and the others as `revisit` records that ca
 together by Spark's own expressions and written by its text writer, gzip-compressed, so that any file system Spark knows will do.
 
 Reading.  The version line may stand inside a payload, so each place where it stands is only a candidate record.  Tasks cut the archive at
-those places and emit, for each candidate, its offset and that of its successor by its Content-Length, and the digest and length of its
-payload.  True records are those that the chain of successors reaches from the start of the file.  Chains are shortened inside
-windows of the file where they are read; pointer jumping over the windows' entries then finds, in as many rounds as the logarithm of the
-number of windows, which candidates the chain enters each window at; and a walk from there keeps the records of the window.
+those places and emit, for each candidate, its offset and that of its successor by its Content-Length; and the digest and length of its
+payload, if no other version line stands in it.  True records are those that the chain of successors reaches from the start of the file.  Chains are
+shortened inside windows of the file where they are read; pointer jumping over the windows' entries then finds, in as many rounds as the logarithm of the
+number of windows, which candidates the chain enters each window at; and a walk from there keeps the records of the window.  Records with version
+lines in their payload are read again, once it is known that they are true: these don't overlap, so a second pass hashes each byte once at
+most and holds none, whatever lengths false heads claim.
+
+Archives are read as Spark's text files, whole, so they must be compressed in a form that Spark doesn't split; what is written is gzip,
+one member a file.
 
 Edge cases: a null html is an empty payload; a null url has no target line, and white space and control characters in a url are percent-encoded; a
 null page id is written as `null`, doesn't count as largest, and is read back as null; rows that repeat an id and payload are all responses;
-a truncated record ends the chain, so what stands behind it is not returned.
+a truncated record ends the chain, and neither it nor what stands behind it is returned; a head whose length isn't a number of 18 ASCII digits
+at most is none; columns besides those named are passed by, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,18 +30,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import new_path, stored
+from ._spark import new_path, scratch, stored
 
 MAGIC = "WARC/1.1\r\n"
+#: What version lines begin with; the rest of them stands at the start of a piece.
+SPLIT, VERSIONS = "WARC/1.", (b"0\r\n", b"1\r\n")
 LEAST_REVISIT = 1000
 RECORDS_PER_FILE = 50_000
 #: Bytes of a file in which chains are followed where they are read.
 WINDOW = 4 << 20
+#: Records that are read again in one pass; their places are broadcast.
+AGAIN = 1 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
 
-CANDIDATE = "file string, start bigint, succ bigint, exit bigint, window bigint, type string, id string, uri string, digest string, refers string, payload_bytes bigint, payload_digest string"
-_EXTRA = [("type", pa.string()), ("id", pa.string()), ("uri", pa.string()), ("digest", pa.string()), ("refers", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())]
+CANDIDATE = "file string, start bigint, succ bigint, exit bigint, window bigint, whole boolean, type string, id string, uri string, digest string, refers string, payload_bytes bigint, payload_digest string"
+_EXTRA = [("whole", pa.bool_()), ("type", pa.string()), ("id", pa.string()), ("uri", pa.string()), ("digest", pa.string()), ("refers", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())]
 
 
 def plan_records(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_revisit: int = LEAST_REVISIT) -> DataFrame:
@@ -69,10 +79,16 @@ def record(date: str = DATE) -> Column:
     )
 
 
-def write_archives(pages: DataFrame, path: str, *, date: str = DATE, per_file: int = RECORDS_PER_FILE, compression: str = "gzip", **columns) -> None:
+def write_archives(pages: DataFrame, path: str, *, date: str = DATE, per_file: int = RECORDS_PER_FILE, **columns) -> None:
     """Write the pages as WARC files under `path`."""
     rows = plan_records(pages, **columns).select(record(date).alias("value"))
-    rows.write.option("lineSep", "\r\n").option("compression", compression).option("maxRecordsPerFile", per_file).text(path)
+    rows.write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+
+
+def _number(text: str | bytes) -> int | None:
+    """A length, or None for what is none."""
+    text = text.strip()
+    return int(text) if text.isascii() and text.isdigit() and len(text) <= 18 else None
 
 
 def _fields(head: bytes) -> dict[str, str] | None:
@@ -83,42 +99,61 @@ def _fields(head: bytes) -> dict[str, str] | None:
         if not colon or not name or b" " in name:
             return None
         out[name.decode("latin-1").lower()] = value.strip().decode("utf-8", "replace")
-    return out if "warc-type" in out and out.get("content-length", "").isdigit() else None
+    return out if "warc-type" in out and _number(out.get("content-length", "")) is not None else None
+
+
+def _head(piece: bytes) -> tuple[dict[str, str], int, int] | None:
+    """The fields of the record that a piece begins, and where its block begins and ends; None if it begins none.
+
+    A head holds no version line, so it stands in one piece.
+    """
+    if not piece.startswith(VERSIONS):
+        return None
+    end = piece.find(b"\r\n\r\n")
+    fields = _fields(piece[3:end]) if end >= 0 else None
+    return (fields, end + 4, end + 4 + _number(fields["content-length"])) if fields else None
+
 
+def _is_http(fields: dict[str, str]) -> bool:
+    return fields.get("content-type", "application/http").lower().startswith("application/http")
 
-class _Open:
-    """A candidate record, as its bytes come in."""
 
-    def __init__(self, start: int) -> None:
-        self.start, self.parts, self.size = start, [], 0
-        self.need = self.head = None
-        self.row: dict | None = None
+def _candidate(start: int, piece: bytes) -> dict:
+    """The row of the candidate at `start`."""
+    found = _head(piece)
+    if found is None:
+        return {"start": start, "succ": -1}
+    h, body, end = found
+    digest, revisit = h.get("warc-payload-digest", "").removeprefix("sha1:"), h["warc-type"] == "revisit"
+    row = {"start": start, "succ": start + len(SPLIT) + end + 4, "whole": revisit or len(piece) >= end, "type": h["warc-type"], "id": h.get("warc-record-id"), "uri": h.get("warc-target-uri"), "digest": digest, "refers": h.get("warc-refers-to")}
+    if revisit:
+        lines = piece[body:end].partition(b"\r\n\r\n")[0].split(b"\r\n")
+        said = next((_number(x.partition(b":")[2]) for x in lines if x.lower().startswith(b"content-length:")), None)
+        return row | {"payload_bytes": said, "payload_digest": digest}
+    if row["whole"]:
+        payload = piece[body:end].partition(b"\r\n\r\n")[2] if _is_http(h) else piece[body:end]
+        row |= {"payload_bytes": len(payload), "payload_digest": hashlib.sha1(payload).hexdigest()}
+    return row
+
+
+class _Payload:
+    """Length and digest of a record's payload, from its pieces; none of them is held."""
+
+    def __init__(self, piece: bytes) -> None:
+        fields, body, end = _head(piece)
+        self.left, self.size, self.hash = end - body, 0, hashlib.sha1()
+        self.tail: bytes | None = b"" if _is_http(fields) else None  # of the inner head, while that lasts
+        self.add(piece[body:])
 
     def add(self, data: bytes) -> None:
-        """Take more of what follows the version line; sets `row` once the record is whole, or known to be none."""
-        self.parts.append(data)
+        data = data[: self.left]
+        self.left -= len(data)
+        if self.tail is not None:
+            both = self.tail + data
+            at = both.find(b"\r\n\r\n")
+            self.tail, data = (None, both[at + 4 :]) if at >= 0 else (both[-3:], b"")
         self.size += len(data)
-        if self.need is None:
-            whole = b"".join(self.parts)
-            self.parts = [whole]
-            end = whole.find(b"\r\n\r\n")
-            self.head = _fields(whole[:end]) if end >= 0 else None
-            if self.head is None:  # a record's head is read in one piece, as it holds no version line
-                self.row = {"start": self.start, "succ": -1}
-                return
-            self.body, self.need = end + 4, end + 4 + int(self.head["content-length"])
-        if self.size >= self.need:
-            block = b"".join(self.parts)[self.body : self.need]
-            self.parts = []
-            http, _, payload = block.partition(b"\r\n\r\n")
-            h = self.head
-            revisit = h["warc-type"] == "revisit"
-            said = next((int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:") and x.split(b":")[1].strip().isdigit()), None)
-            digest = h.get("warc-payload-digest", "").removeprefix("sha1:")
-            self.row = {
-                "start": self.start, "succ": self.start + len(MAGIC) + self.need + 4, "type": h["warc-type"], "id": h.get("warc-record-id"), "uri": h.get("warc-target-uri"), "digest": digest,
-                "refers": h.get("warc-refers-to"), "payload_bytes": said if revisit else len(payload), "payload_digest": digest if revisit else hashlib.sha1(payload).hexdigest(),
-            }
+        self.hash.update(data)
 
 
 def _windowed(rows: list[dict], window: int) -> None:
@@ -129,53 +164,79 @@ def _windowed(rows: list[dict], window: int) -> None:
         row["exit"] = exits[row["start"]] = exits.get(row["succ"], row["succ"])
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, bytes]]:
+    """Files, places and pieces: what follows each SPLIT, up to the next."""
+    file, position = None, 0
+    for batch in batches:
+        for value, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if name != file:  # what stands before the first
+                file, position = name, len(value)
+                continue
+            yield file, position, value
+            position += len(SPLIT) + len(value)
+
+
 def _scan(window: int):
-    magic = MAGIC.encode()
+    def batch_of(file: str, rows: list[dict]) -> pa.RecordBatch:
+        _windowed(rows, window)
+        numbers = [pa.array([r[c] for r in rows], pa.int64()) for c in ("start", "succ", "exit", "window")]
+        return pa.RecordBatch.from_arrays([pa.array([file] * len(rows), pa.string()), *numbers, *(pa.array([r.get(c) for r in rows], t) for c, t in _EXTRA)], names=["file", "start", "succ", "exit", "window", *(c for c, _ in _EXTRA)])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        file, position, live, waiting = None, 0, [], []
-
-        def batch_of(name: str, rows: list[dict]) -> pa.RecordBatch:
-            _windowed(rows, window)
-            numbers = [pa.array([r[c] for r in rows], pa.int64()) for c in ("start", "succ", "exit", "window")]
-            return pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), *numbers, *(pa.array([r.get(c) for r in rows], t) for c, t in _EXTRA)], names=["file", "start", "succ", "exit", "window", *(c for c, _ in _EXTRA)])
-
-        def done(upto: int | None) -> Iterator[list[dict]]:
-            """Whole windows before position `upto`; all that is left if it is None."""
-            while waiting:
-                w = waiting[0].start // window
-                n = next((i for i, c in enumerate(waiting) if c.start // window > w), len(waiting))
-                if upto is not None and (upto // window == w or any(c.row is None for c in waiting[:n])):
-                    return
-                yield [c.row or {"start": c.start, "succ": -1} for c in waiting[:n]]
-                del waiting[:n]
-
-        for batch in batches:
-            for value, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if name != file:
-                    for rows in done(None):
-                        yield batch_of(file, rows)
-                    file, position, live = name, len(value), []
-                    continue
-                for c in live:
-                    c.add(magic + value)
-                candidate = _Open(position)
-                candidate.add(value)
-                waiting.append(candidate)
-                live = [c for c in [*live, candidate] if c.row is None]
-                position += len(magic) + len(value)
-                for rows in done(position):
-                    yield batch_of(file, rows)
-        for rows in done(None):
-            yield batch_of(file, rows)
+        key, rows = None, []
+        for file, start, piece in _pieces(batches):
+            if (file, start // window) != key:
+                if rows:
+                    yield batch_of(key[0], rows)
+                key, rows = (file, start // window), []
+            rows.append(_candidate(start, piece))
+        if rows:
+            yield batch_of(key[0], rows)
 
     return scan
 
 
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """The archives under `path`, cut at SPLIT; a file is read in one task."""
+    lines = spark.read.option("lineSep", SPLIT).text(path)
+    plain = next((f for f in lines.inputFiles() if not f.endswith(".gz")), None)
+    if plain:
+        raise ValueError(f"not gzip-compressed: {plain}")
+    return lines.select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"))
+
+
 def candidates(spark: SparkSession, path: str, window: int = WINDOW) -> DataFrame:
-    """All candidate records of the (gzip-compressed, so unsplit) archives under `path`."""
-    lines = spark.read.option("lineSep", MAGIC).text(path).select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"))
-    return lines.mapInArrow(_scan(window), CANDIDATE)
+    """All candidate records of the archives under `path`."""
+    return _lines(spark, path).mapInArrow(_scan(window), CANDIDATE)
+
+
+def _read_again(spark: SparkSession, path: str, wanted: DataFrame, at_once: int) -> DataFrame:
+    """file, start, payload_bytes and payload_digest of the records in `wanted`, which don't overlap; without truncated ones."""
+    parts = None
+    rounds = max(1, -(-wanted.count() // at_once))
+    for k in range(rounds):
+        places: dict[str, set[int]] = {}
+        for r in wanted.filter(F.pmod(F.xxhash64("file", "start"), F.lit(rounds)) == k).toLocalIterator():
+            places.setdefault(r.file, set()).add(r.start)
+        known = spark.sparkContext.broadcast(places)
+
+        def scan(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
+            opened: tuple[str, int, _Payload] | None = None
+            for file, start, piece in _pieces(batches):
+                if opened and opened[0] != file:
+                    opened = None
+                if opened:
+                    opened[2].add(SPLIT.encode() + piece)
+                elif start in known.value.get(file, ()):
+                    opened = file, start, _Payload(piece)
+                if opened and not opened[2].left:
+                    name, at, p = opened
+                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([at], pa.int64()), pa.array([p.size], pa.int64()), pa.array([p.hash.hexdigest()])], names=["file", "start", "payload_bytes", "payload_digest"])
+                    opened = None
+
+        found = _lines(spark, path).mapInArrow(scan, "file string, start bigint, payload_bytes bigint, payload_digest string")
+        parts = found if parts is None else parts.unionAll(found)
+    return parts
 
 
 def reachable(found: DataFrame) -> DataFrame:
@@ -210,19 +271,27 @@ def reachable(found: DataFrame) -> DataFrame:
     return found.join(kept, ["file", "start"], "left_semi")
 
 
-def read_archives(spark: SparkSession, path: str, window: int = WINDOW) -> DataFrame:
+def read_archives(spark: SparkSession, path: str, window: int = WINDOW, at_once: int = AGAIN) -> DataFrame:
     """The records of the archives under `path`: CANDIDATE's columns."""
-    return reachable(stored(candidates(spark, path, window), "candidates"))
+    true = stored(reachable(stored(candidates(spark, path, window), "candidates")), "records")
+    parted = true.filter("not whole")
+    if parted.isEmpty():
+        return true
+    rest = [c for c in true.columns if c not in ("payload_bytes", "payload_digest")]
+    again = stored(_read_again(spark, path, parted.select("file", "start"), at_once), "again")
+    return true.filter("whole").unionByName(parted.select(*rest).join(again, ["file", "start"]))
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
-    write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
+    with scratch() as keep:
+        write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
+        out = stored(read_archives(spark, path), "found")
+        keep(out)
 
     def page(c: str) -> Column:
         return F.expr(f"try_cast(regexp_extract({c}, '^<urn:page:(.*)>$', 1) as bigint)")
 
-    out = read_archives(spark, path)
     return out.select(page("id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.when(F.col("type") == "revisit", page("refers")).alias("refers_to"))
 
 
