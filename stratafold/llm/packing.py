@@ -8,13 +8,17 @@ All three sizes follow from the length, so pieces of one length are alike, and o
 numbers at most, however large the corpus) comes to the driver.  There, runs of sequences with the same remainder are packed at
 once: a decision is "the next m pieces of length L, by rank, go to sequences b, b+1, ... at offset o".  Ranks are given in Spark: each
 task numbers its pieces of each length, the numbers of all tasks are summed up to offsets, and a piece finds its decision by
-binary search in the broadcast plan, which has a few rows for each length.  Capacities that cannot bind are left out of the remainder.
+binary search in the broadcast plan, which has a few rows for each length.  Runs are at most twice as many as lengths, however
+many pieces there are, as a length ends within one run at most and opens one at most.  A capacity that neither binds nor weighs is left out.
+
+`op8_packing` and the pipeline have limits of all three kinds, and weigh all three (WEIGHTS).  Their limits on documents and cost are the largest
+that some sequence could need, so neither costs a sequence: they tell sequences apart that have about as many tokens left.
 
 Tokens come from a public tokenizer's file, whose path is a parameter; a document is its ids and then the end id.  Tokens of one word don't depend
 on its neighbours, so words are encoded once and kept; texts beyond Latin-1, or with a special token's string, go to the tokenizer whole.
 
 Edge cases: a null or empty text is one piece, the end id; documents longer than the capacity are cut into full pieces and a rest; repeated rows
-and null ids are packed like any; an empty table packs into nothing.
+and null ids are packed like any; an empty table packs into nothing; columns to keep that are named as ours are replaced by ours.
 """
 
 from __future__ import annotations
@@ -34,10 +38,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ._spark import sliced, stored, texts_of
+from ._spark import sliced, stored, texts_of, with_fields
 from ._text import groups
 
 CAPACITY, END_ID = 4096, 1
+#: Most documents and attention cost of a sequence, and what tokens, documents and cost weigh in the choice of one.
+MAX_DOCS, MAX_COST, WEIGHTS = CAPACITY, CAPACITY**2, (1.0, 0.1, 0.1)
 #: Words whose ids are kept in a worker: twice as many at most, as the last while's stay at hand.
 KEPT = 200_000
 
@@ -105,9 +111,15 @@ def _encoder(path: str, end_id: int) -> Encoder:
     return Encoder(path, end_id)
 
 
+#: Columns of pieces and of packed pieces.
+OWN = ("piece", "start", "length", "ids_crc32", "task", "rank", "sequence_id", "offset")
+
+
 def pieces(docs: DataFrame, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """Columns `keep` and piece, start, length, ids_crc32, and the task and rank that number pieces of a length."""
+    """Columns `keep`, but for those named as ours, and piece, start, length, ids_crc32, and the task and rank that number pieces of a length."""
     tokenizer = tokenizer or public_tokenizers.path("word_bpe_49k.json")
+    keep = tuple(c for c in keep if c.lower() not in OWN)
+    inner = [f"_in{i}" for i in range(len(keep))]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -115,7 +127,7 @@ def pieces(docs: DataFrame, *, text_col: str = "text", keep: tuple[str, ...] = (
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encode, task, seen = _encoder(tokenizer, end_id), TaskContext.get().partitionId(), defaultdict(int)
         for batch in sliced(batches, 4096):
-            texts = texts_of(batch.column(text_col))
+            texts = texts_of(batch.column("_text"))
             rows = []
             for a, b in groups(texts, 4 << 20):
                 for i, ids in enumerate(encode(texts[a:b]), a):
@@ -125,13 +137,14 @@ def pieces(docs: DataFrame, *, text_col: str = "text", keep: tuple[str, ...] = (
                         rows.append((i, start // (4 * capacity), start // 4, n, zlib.crc32(part), seen[n]))
                         seen[n] += 1
             index, *columns = (np.array(c, np.int64) for c in zip(*rows, strict=True)) if rows else (np.empty(0, np.int64),) * 6
-            kept = batch.select(list(keep)).take(pa.array(index))
+            kept = batch.select(inner).take(pa.array(index))
             numbers = [pa.array(columns[0], pa.int32()), *(pa.array(c, pa.int64()) for c in columns[1:4]), pa.array(np.full(len(index), task), pa.int64()), pa.array(columns[4], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*kept.columns, *numbers], names=[*keep, "piece", "start", "length", "ids_crc32", "task", "rank"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, *numbers], names=[*inner, *OWN[:6]])
         encode.older = {}  # later stages run in this worker too
 
-    kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, *({text_col} - set(keep))).mapInArrow(scan, f"{kept}, piece int, start bigint, length bigint, ids_crc32 bigint, task bigint, rank bigint")
+    given = docs.select(*(F.col(f"`{c}`").alias(name) for c, name in zip(keep, inner, strict=True)), F.col(f"`{text_col}`").alias("_text"))
+    schema = with_fields(given.drop("_text").schema, "piece int, start bigint, length bigint, ids_crc32 bigint, task bigint, rank bigint")
+    return given.mapInArrow(scan, schema).toDF(*keep, *OWN[:6])
 
 
 class Plan:
@@ -139,54 +152,69 @@ class Plan:
 
     def __init__(self, histogram: dict[int, int], capacity: int = CAPACITY, max_docs: int | None = None, max_cost: int | None = None, weights: tuple[float, float, float] = (1.0, 0.0, 0.0), rule: str = "norm") -> None:
         caps = [capacity, max_docs if max_docs is not None else capacity, max_cost if max_cost is not None else capacity**2]
-        # A capacity that `capacity` tokens in pieces of any size cannot exceed never binds.
-        binding = [True, caps[1] < capacity, caps[2] < capacity**2]
-        bad = [n for n in histogram if n > capacity or (binding[2] and n * n > caps[2])]
+        # What neither binds (`capacity` tokens in pieces of any size cannot exceed it) nor weighs needs no account.
+        binding = [True, *(cap < most or w > 0 for cap, most, w in zip(caps[1:], (capacity, capacity**2), weights[1:], strict=True))]
+        bad = [n for n in histogram if n > capacity or n * n > caps[2]]
         if bad or caps[1] < 1:
             raise ValueError(f"pieces of {max(bad, default=0)} tokens fit under no capacity")
-        scale = np.array([w / c for w, c in zip(weights, caps, strict=True)])
+        scale = [w / c for w, c in zip(weights, caps, strict=True)]
         ends: dict[tuple[int, int, int], list[tuple[int, int]]] = {}  # what is left -> runs of sequences (first, count)
         rows, bins = [], 0
-        states = np.zeros((0, 3), np.int64)
+        left_of = np.zeros((3, 256))  # the states that there are, one a column, without gaps
         keys: list[tuple[int, int, int]] = []
         slot: dict[tuple[int, int, int], int] = {}
 
         def put(state: tuple[int, int, int], run: tuple[int, int]) -> None:
-            nonlocal states
+            nonlocal left_of
             if state not in ends:
                 ends[state] = []
-                if state not in slot:
-                    slot[state] = len(keys)
-                    keys.append(state)
-                    if len(keys) > len(states):
-                        states = np.concatenate([states, np.full((max(64, len(states)), 3), -1)])
-                states[slot[state]] = state
+                slot[state] = len(keys)
+                if len(keys) == left_of.shape[1]:
+                    left_of = np.concatenate([left_of, np.zeros_like(left_of)], axis=1)
+                left_of[:, len(keys)] = state
+                keys.append(state)
             ends[state].append(run)
 
+        def forget(state: tuple[int, int, int]) -> None:
+            del ends[state]
+            at, last = slot.pop(state), keys.pop()
+            if last != state:  # the last takes its column
+                keys[at], slot[last] = last, at
+                left_of[:, at] = left_of[:, len(keys)]
+
+        def best(size: tuple[int, int, int]) -> tuple[int, int, int] | None:
+            """The state that is best for a piece; None if none has room."""
+            value, fits = 0.0, True
+            for left, n, weight, bind in zip(left_of[:, : len(keys)], size, scale, binding, strict=True):
+                if bind:
+                    rest = left - n
+                    fits = (rest >= 0) & fits
+                    if weight:
+                        value = value + ((rest * weight) ** 2 if rule == "norm" else left * (-n * weight**2))
+            if not np.any(fits):
+                return None
+            return keys[int(np.where(fits, value, np.inf).argmin())]
+
         for n in sorted(histogram, reverse=True):
             left, rank = histogram[n], 0
-            size = np.array([n, 1 if binding[1] else 0, n * n if binding[2] else 0])
+            size = n, 1 if binding[1] else 0, n * n if binding[2] else 0
             while left:
-                rest = states - size
-                fits = (states[:, 0] >= 0) & (rest >= 0).all(axis=1)
-                if fits.any():
-                    value = ((rest * scale) ** 2).sum(axis=1) if rule == "norm" else -((states * scale) * (size * scale)).sum(axis=1)
-                    state = keys[int(np.where(fits, value, np.inf).argmin())]
+                state = best(size) if keys else None
+                if state is not None:
                     first, count = ends[state].pop()
                     m = min(left, count)
                     if m < count:
                         ends[state].append((first + m, count - m))
                     elif not ends[state]:
-                        del ends[state]
-                        states[slot[state]] = -1
+                        forget(state)
                 else:
                     # As many new sequences as these pieces need; the next turns fill them up.
                     state = caps[0], caps[1] if binding[1] else 0, caps[2] if binding[2] else 0
-                    each = min(c // x for c, x in zip(state, size.tolist(), strict=True) if x)
+                    each = min(c // x for c, x in zip(state, size, strict=True) if x)
                     first, m = bins, -(-left // each)
                     bins += m
                 rows.append((n, rank, first, capacity - state[0]))
-                after = tuple(int(x) for x in np.array(state) - size)
+                after = state[0] - size[0], state[1] - size[1], state[2] - size[2]
                 if after[0]:
                     put(after, (first, m))
                 left, rank = left - m, rank + m
@@ -218,9 +246,8 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, **rules) -> DataFrame:
             sequence, offset = plan.value.find(length, rank)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(sequence), pa.array(offset)], names=[*kept, "sequence_id", "offset"])
 
-    schema = ", ".join(f"`{c}` {parts.schema[c].dataType.simpleString()}" for c in kept)
     ranked = parts.join(offsets, ["task", "length"]).select(*kept, (F.col("rank") + F.col("before")).alias("rank"))
-    return ranked.mapInArrow(place, f"{schema}, sequence_id bigint, offset bigint")
+    return ranked.mapInArrow(place, with_fields(parts.select(*kept).schema, "sequence_id bigint, offset bigint"))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,5 +256,5 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pack_documents(docs: DataFrame) -> DataFrame:
     """The digest of packing `docs`, which have doc_id and text."""
-    out = pack(pieces(docs.select("doc_id", "text")))
+    out = pack(pieces(docs.select("doc_id", "text")), max_docs=MAX_DOCS, max_cost=MAX_COST, weights=WEIGHTS)
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -46,6 +46,44 @@ def test_plans_respect_every_capacity(histogram, rules):
         assert len(fills) < 2 or fills[0] + fills[1] > 64
 
 
+def together(plan, a: int, b: int) -> bool:
+    """Whether the first pieces of two lengths are in one sequence."""
+    x, _ = plan.find(np.array([a, b]), np.array([0, 0]))
+    return x[0] == x[1]
+
+
+def test_documents_and_cost_choose_among_equal_tokens():
+    # 70 and 35 + 35 leave 30 tokens each: fewer documents are left beside the two, less cost beside the one.
+    histogram = {70: 1, 35: 2, 10: 1}
+    assert together(packing.Plan(histogram, 100, max_docs=100, weights=(1, 1, 0)), 35, 10)
+    assert together(packing.Plan(histogram, 100, max_cost=100**2, weights=(1, 0, 1)), 70, 10)
+    assert together(packing.Plan(histogram, 100, max_docs=100, weights=(1, 1, 0), rule="dot"), 70, 10)
+    assert together(packing.Plan(histogram, 100, max_cost=4999, weights=(1, 0, 0)), 35, 10)  # the other has no room for its cost
+
+
+def test_the_query_weighs_all_three(spark):
+    docs = spark.createDataFrame([(i, "a " * n) for i, n in enumerate((2867, 1433, 1433, 9))], "doc_id bigint, text string")
+    got = {r.doc_id: r.sequence_id for r in packing.pack_documents(docs).collect()}
+    assert got[1] == got[2] != got[0] == got[3]  # by tokens alone it is as near to the other
+
+
+def test_plans_are_found_in_time():
+    import time
+
+    rng = np.random.default_rng(4)
+    histogram = {int(n): int(c) for n, c in zip(range(1, 4097), rng.integers(1, 5000, 4096), strict=True)}
+    began = time.perf_counter()
+    plan = packing.Plan(histogram, max_docs=packing.MAX_DOCS, max_cost=packing.MAX_COST, weights=packing.WEIGHTS)
+    least = -(-sum(n * c for n, c in histogram.items()) // 4096)
+    assert time.perf_counter() - began < 30 and plan.sequences <= least * 1.05 and len(plan.rank) < 60_000
+
+
+def test_columns_that_are_named_as_ours_are_replaced(spark):
+    docs = spark.createDataFrame([(1, "a", 7, 8, "x")], "doc_id bigint, text string, rank int, start int, _text string")
+    (r,) = packing.pack(packing.pieces(docs, keep=("doc_id", "rank", "start", "_text"))).collect()
+    assert r.asDict() == {"doc_id": 1, "_text": "x", "piece": 0, "start": 0, "length": 2, "ids_crc32": zlib.crc32(np.array(ids("a"), "<u4").tobytes()), "sequence_id": 0, "offset": 0}
+
+
 def test_pieces_that_fit_nowhere():
     with pytest.raises(ValueError, match="no capacity"):
         packing.Plan({65: 1}, 64)
