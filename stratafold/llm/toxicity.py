@@ -1,21 +1,21 @@
 """Toxicity scores from a bidirectional gated recurrent network with attention pooling, trained and run in numpy.
 
-Inputs.  A word's vector is the sum of two embeddings: one of the word itself (hashed) and the mean over its character
-n-grams (hashed, with marks for both ends), so that unseen forms of a known stem are understood.  Both are trained.
+Inputs.  A word's vector is the sum of two embeddings: one of the word itself (hashed) and the scaled sum over its characters' n-grams of 3 to 5
+(hashed, with marks for both ends), so that unseen forms of a known stem are understood.  Both are trained.
 
 Network.  A text is cut into overlapping windows of WINDOW words, one each STRIDE words; every word stands in two windows but
 for the ends.  Each window goes through a GRU in both directions; attention weights over the positions pool the states, and a
 logistic unit scores the window.  A text's score is that of its highest window.
 
-Training is by multiple instances: in each pass the windows of a batch of texts are scored, and the gradient goes through
-each text's highest window, as the label says that some place is toxic, not which.  Adam, weighted classes, a fixed seed.
+Training is by multiple instances: in every second pass the windows of a batch of texts are scored, and the gradient of that pass and the next goes
+through each text's highest window, as the label says that some place is toxic, not which.  Adam, weighted classes, a fixed seed.
 It uses a bounded sample of labelled rows (`positives` and `negatives` texts, none longer than `longest` bytes, chosen by a hash of
 id and text).  Scoring reads whole texts, in one pass without a shuffle; distinct words of a batch are embedded once and their
 input products are kept, so that a step of the recurrence is one small matrix product.
 
 Edge cases: a null or empty text is one window without words, and gets the bias's score, which training keeps low; rows with null
 labels or ids don't train; without training rows of both classes every score is the share of toxic labels (0 without labels);
-repeated rows get a row each; several labels of an id count as toxic if any is.
+repeated rows get a row each; several labels of an id count as toxic if any is; columns besides those named are passed by, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import fold, kept, sliced, texts_of
+from ._spark import fold, kept, sliced, texts_of, unnamed, with_fields
 from ._text import ALNUM, Words, groups
 
 WORD_ROWS, GRAM_ROWS = 1 << 13, 1 << 14
@@ -38,8 +38,8 @@ POSITIVES, NEGATIVES, LONGEST = 1200, 1800, 4_000
 EPOCHS, BATCH, RATE = 6, 64, 0.02
 #: Most windows scored at once.
 CHUNK = 2048
-#: Most words whose input products are kept.
-KEPT = 60_000
+#: Most words whose input products are kept: 200 bytes each.
+KEPT = 200_000
 
 
 class Inputs:
@@ -75,12 +75,21 @@ class Inputs:
         return out
 
 
-def windows_of(n: int) -> list[tuple[int, int]]:
-    """Windows over n words: each STRIDE words, the last one reaching the end."""
-    if n <= WINDOW:
-        return [(0, n)]
-    starts = list(range(0, n - WINDOW, STRIDE))
-    return [(s, s + WINDOW) for s in [*starts, n - WINDOW]]
+def windows_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, start and end of the windows over texts of so many words: each STRIDE words, the last one reaching the end; one for a short text."""
+    each = np.where(counts > WINDOW, -(-(counts - WINDOW) // STRIDE) + 1, 1)
+    owner = np.repeat(np.arange(len(counts)), each)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(each) - each, each)
+    start = np.minimum(nth * STRIDE, np.maximum(counts[owner] - WINDOW, 0))
+    return owner, start, start + np.minimum(counts[owner], WINDOW)
+
+
+def _summed(where: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct places, ascending, and the sums of their rows."""
+    order = np.argsort(where, kind="stable")
+    places = where[order]
+    first = np.flatnonzero(np.concatenate([[True], places[1:] != places[:-1]])) if len(places) else np.empty(0, np.int64)
+    return places[first], np.add.reduceat(values[order], first, axis=0) if len(first) else values
 
 
 def _squash(x: np.ndarray) -> np.ndarray:
@@ -122,15 +131,14 @@ class Network:
         return self.p["word"][words.word] + sums / np.sqrt(sizes)[:, None].astype(np.float32)
 
     def products(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Input products of word vectors, for both directions; a last row for padding."""
-        pad = np.zeros((1, 3 * HIDDEN), np.float32)
-        return tuple(np.concatenate([x @ self.p[f"w{d}"] + self.p[f"c{d}"], pad]) for d in "fb")
+        """Input products of word vectors, for both directions."""
+        return tuple(x @ self.p[f"w{d}"] + self.p[f"c{d}"] for d in "fb")
 
     def forward(self, index: np.ndarray, xf: np.ndarray, xb: np.ndarray, keep: bool = False):
-        """Window scores (logits). index: rows of xf and xb by window and position; the last row of those pads the end."""
+        """Window scores (logits). index: rows of xf and xb by window and position; the first row of those, of zeros, pads the end."""
         n, t = index.shape
         h = HIDDEN
-        real = index != len(xf) - 1
+        real = index != 0
         length = real.sum(axis=1)
         states = np.zeros((2, t, n, h), np.float32)
         columns, full = np.ascontiguousarray(index.T), bool(real.all())
@@ -176,10 +184,11 @@ class Network:
         g["v"] = np.einsum("tn,tnh->h", de, q)
         g["a"] = states.reshape(t * n, -1).T @ dq.reshape(t * n, -1)
         dstates += dq @ self.p["a"].T
-        dx = {"f": np.zeros_like(xf), "b": np.zeros_like(xb)}
+        dx = {}
         for d, order, half in (("f", range(t - 1, -1, -1), slice(0, h)), ("b", range(t), slice(h, 2 * h))):
             u = self.p[f"u{d}"]
             du, carry = np.zeros_like(u), np.zeros((n, h), np.float32)
+            gates = np.empty((n, t, 3 * h), xf.dtype)
             for i in order:
                 s, z, r, c = tape[d, i]
                 dn = (dstates[i, :, half] + carry) * real[:, i, None]
@@ -191,17 +200,18 @@ class Network:
                 carry = dn * (1 - z) + drs * r + dzr @ u[:, : 2 * h].T
                 du[:, : 2 * h] += s.T @ dzr
                 du[:, 2 * h :] += (r * s).T @ dc
-                np.add.at(dx[d], index[:, i], np.concatenate([dzr, dc], axis=1))
-            g[f"u{d}"], g[f"c{d}"] = du, dx[d][:-1].sum(axis=0)
-        return g, dx["f"][:-1], dx["b"][:-1]
+                gates[:, i, : 2 * h], gates[:, i, 2 * h :] = dzr, dc
+            dx[d] = np.zeros_like(xf)
+            places, sums = _summed(index.ravel(), gates.reshape(n * t, -1))
+            dx[d][places] = sums
+            g[f"u{d}"], g[f"c{d}"] = du, dx[d][1:].sum(axis=0)
+        return g, dx["f"][1:], dx["b"][1:]
 
 
-def _index(spans: list[tuple[int, int]], ids: np.ndarray, pad: int) -> np.ndarray:
+def _index(start: np.ndarray, end: np.ndarray, ids: np.ndarray, pad: int) -> np.ndarray:
     """Word rows by window and position, padded at the end."""
-    starts, ends = (np.array(x) for x in zip(*spans, strict=True))
-    at = starts[:, None] + np.arange(max(1, int((ends - starts).max())))
-    inside = at < ends[:, None]
-    return np.where(inside, ids[np.minimum(at, len(ids) - 1)] if len(ids) else pad, pad)
+    at = start[:, None] + np.arange(max(1, int((end - start).max(initial=0))))
+    return np.where(at < end[:, None], ids[np.minimum(at, len(ids) - 1)] if len(ids) else pad, pad)
 
 
 class Scorer:
@@ -209,48 +219,51 @@ class Scorer:
 
     def __init__(self, net: Network | None, prior: float = 0.0) -> None:
         self.net, self.prior = net, prior
-        self.rows: dict[int, int] = {}
-        self.pf = self.pb = None
+        self._forget()
+
+    def _forget(self) -> None:
+        # Hashes of known words, ascending, and the rows of their products; row 0 is the padding's.
+        self.keys, self.rows = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.xf = self.xb = np.zeros((1, 3 * HIDDEN), np.float32)
 
     def __getstate__(self):
-        return {"net": self.net, "prior": self.prior, "rows": {}, "pf": None, "pb": None}
+        return {"net": self.net, "prior": self.prior}
+
+    def __setstate__(self, state) -> None:
+        self.net, self.prior = state["net"], state["prior"]
+        self._forget()
 
     def _ids(self, words: Words) -> np.ndarray:
         """Rows of the words' products, computing those of new words."""
-        h = 3 * HIDDEN
-        if self.pf is None or len(self.rows) > KEPT:
-            self.rows = {}
-            self.pf = self.pb = np.zeros((0, h), np.float32)
+        if len(self.keys) > KEPT:
+            self._forget()
         unique, first, inverse = np.unique(words.hashes, return_index=True, return_inverse=True)
-        keys = unique.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.rows]
-        if new:
-            at = first[new]
-            f, b = self.net.products(self.net.embed(Inputs(unique[new], [words.strings(i, i + 1)[0] for i in at.tolist()])))
-            for j, i in enumerate(new, len(self.pf)):
-                self.rows[keys[i]] = j
-            self.pf, self.pb = np.concatenate([self.pf, f[:-1]]), np.concatenate([self.pb, b[:-1]])
-        return np.fromiter(map(self.rows.__getitem__, keys), np.int64, len(keys))[inverse]
+        at = np.searchsorted(self.keys, unique)
+        known = self.keys[np.minimum(at, len(self.keys) - 1)] == unique if len(self.keys) else np.zeros(len(unique), bool)
+        rows = np.empty(len(unique), np.int64)
+        rows[known] = self.rows[at[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            inputs = Inputs(unique[new], [words.strings(i, i + 1)[0] for i in first[new].tolist()])
+            f, b = self.net.products(self.net.embed(inputs))
+            rows[new] = np.arange(len(self.xf), len(self.xf) + len(new))
+            self.xf, self.xb = np.concatenate([self.xf, f]), np.concatenate([self.xb, b])
+            self.keys, self.rows = np.insert(self.keys, at[new], unique[new]), np.insert(self.rows, at[new], rows[new])
+        return rows[inverse]
 
     def score(self, texts: list[bytes | None]) -> list[float]:
         if self.net is None:
             return [self.prior] * len(texts)
         words = Words(texts, ALNUM)
         ids = self._ids(words) if len(words.hashes) else np.empty(0, np.int64)
-        pad = len(self.pf) if self.pf is not None else 0
-        zero = np.zeros((1, 3 * HIDDEN), np.float32)
-        xf, xb = (np.concatenate([p, zero]) if p is not None else zero for p in (self.pf, self.pb))
-        spans, owner = [], []
-        for i, (a, n) in enumerate(zip(words.at[:-1].tolist(), words.counts.tolist(), strict=True)):
-            for s, e in windows_of(n):
-                spans.append((a + s, a + e))
-                owner.append(i)
-        best = np.full(len(texts), -np.inf, np.float32)
-        order = sorted(range(len(spans)), key=lambda k: spans[k][1] - spans[k][0])
+        owner, start, end = windows_of(words.counts)
+        start, end = words.at[owner] + start, words.at[owner] + end
+        logit = np.empty(len(owner), np.float32)
+        order = np.argsort(end - start, kind="stable")  # windows of a length together
         for k in range(0, len(order), CHUNK):
             part = order[k : k + CHUNK]
-            logit = self.net.forward(_index([spans[j] for j in part], ids, pad), xf, xb)
-            np.maximum.at(best, [owner[j] for j in part], logit)
+            logit[part] = self.net.forward(_index(start[part], end[part], ids, 0), self.xf, self.xb)
+        best = np.maximum.reduceat(logit, np.searchsorted(owner, np.arange(len(texts)))) if len(texts) else logit
         return (1 / (1 + np.exp(-best.astype(float)))).tolist()
 
 
@@ -261,9 +274,13 @@ def train(rows: list[tuple[int, bytes]], epochs: int = EPOCHS, seed: int = 11) -
         return Scorer(None, float(labels.mean()) if len(rows) else 0.0)
     net, rng = Network(), np.random.default_rng(seed)
     words = Words([t for _, t in rows], ALNUM)
-    unique, first, ids = np.unique(words.hashes, return_index=True, return_inverse=True)
-    inputs = Inputs(unique, [words.strings(i, i + 1)[0] for i in first.tolist()]) if len(unique) else None
-    spans = [[(int(a) + s, int(a) + e) for s, e in windows_of(int(n))] for a, n in zip(words.at[:-1], words.counts, strict=True)]
+    unique, once, ids = np.unique(words.hashes, return_index=True, return_inverse=True)
+    inputs = Inputs(unique, [words.strings(i, i + 1)[0] for i in once.tolist()]) if len(unique) else None
+    pad = np.zeros((1, 3 * HIDDEN), np.float32)
+    owner, start, end = windows_of(words.counts)
+    start, end = words.at[owner] + start, words.at[owner] + end
+    first = np.searchsorted(owner, np.arange(len(rows) + 1))
+    chosen = first[:-1].copy()
     weight = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean()))
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     v = {k: np.zeros_like(x) for k, x in net.p.items()}
@@ -273,27 +290,32 @@ def train(rows: list[tuple[int, bytes]], epochs: int = EPOCHS, seed: int = 11) -
         order = rng.permutation(len(rows))
         for k in range(0, len(order), BATCH):
             batch = order[k : k + BATCH]
-            flat = [s for i in batch for s in spans[i]]
-            owner = np.repeat(np.arange(len(batch)), [len(spans[i]) for i in batch])
-            used, local = np.unique(np.concatenate([ids[a:b] for a, b in flat]) if any(a < b for a, b in flat) else np.empty(0, np.int64), return_inverse=True)
-            near = np.full(len(ids), 0)
-            for (a, b), c in zip(flat, np.cumsum([0, *[b - a for a, b in flat]])[:-1], strict=True):
-                near[a:b] = local[c : c + b - a]
+            again = epoch % 2 == 1  # with the windows that the pass before has chosen
+            flat = chosen[batch] if again else np.concatenate([np.arange(first[i], first[i + 1]) for i in batch])
+            index = _index(start[flat], end[flat], ids, -1)
+            used, local = np.unique(index[index >= 0], return_inverse=True)
+            index[index >= 0] = local + 1
+            index[index < 0] = 0
             part = inputs.take(used) if len(used) else None
             x = net.embed(part) if part else np.zeros((0, EMBED), np.float32)
-            xf, xb = net.products(x)
-            logit = net.forward(_index(flat, near, len(xf) - 1), xf, xb)
-            first_of = np.searchsorted(owner, np.arange(len(batch) + 1))
-            top = np.array([a + logit[a:b].argmax() for a, b in zip(first_of[:-1], first_of[1:], strict=True)])
-            index = _index([flat[j] for j in top], near, len(xf) - 1)
-            logit, kept = net.forward(index, xf, xb, keep=True)
+            xf, xb = (np.concatenate([pad, p]) for p in net.products(x))
+            top = np.arange(len(batch))
+            if not again:
+                logit = net.forward(index, xf, xb)
+                cuts = np.cumsum([0, *(first[batch + 1] - first[batch])])
+                top = np.array([a + logit[a:b].argmax() for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+                chosen[batch] = flat[top]
+            logit, kept = net.forward(index[top], xf, xb, keep=True)
             y = labels[batch]
             grads, df, db = net.backward(((_sigmoid(logit) - y) * weight[batch] / len(batch)).astype(np.float32), kept)
             grads["wf"], grads["wb"] = x.T @ df, x.T @ db
-            dx = df @ net.p["wf"].T + db @ net.p["wb"].T
             step += 1
+            near = np.unique(index[top])
+            near = near[near > 0] - 1  # of all words in the batch, only those of the highest windows learn
+            if len(near):
+                part, dx = part.take(near), df[near] @ net.p["wf"].T + db[near] @ net.p["wb"].T
             _adam(net.p, grads, m, v, rate, step)
-            if part:
+            if len(near):
                 _adam_rows(net.p, "word", part.word, dx, m, v, rate, step)
                 sizes = np.diff(part.at)
                 _adam_rows(net.p, "gram", part.grams, np.repeat(dx / np.sqrt(sizes)[:, None], sizes, axis=0), m, v, rate, step)
@@ -309,9 +331,7 @@ def _adam(p, grads, m, v, rate: float, step: int) -> None:
 
 def _adam_rows(p, key: str, rows: np.ndarray, dx: np.ndarray, m, v, rate: float, step: int) -> None:
     """The same for the rows of a table that took part."""
-    used, where = np.unique(rows, return_inverse=True)
-    g = np.zeros((len(used), dx.shape[1]), np.float32)
-    np.add.at(g, where, dx)
+    used, g = _summed(rows, dx)
     a = m[key][used] + 0.1 * (g - m[key][used])
     b = v[key][used] + 0.01 * (g * g - v[key][used])
     m[key][used], v[key][used] = a, b
@@ -335,18 +355,20 @@ def training_rows(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col:
 def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", positives: int = POSITIVES, negatives: int = NEGATIVES, longest: int = LONGEST) -> DataFrame:
     """The documents with all their columns and `toxicity`, in place of a column of that name."""
     docs = docs.drop("toxicity")
-    scorer = docs.sparkSession.sparkContext.broadcast(train(training_rows(docs, labels, id_col=id_col, text_col=text_col, label_id=label_id, positives=positives, negatives=negatives, longest=longest)))
+    inner = unnamed(docs)
+    key, text = (f"_in{docs.columns.index(c)}" for c in (id_col, text_col))
+    rows = training_rows(inner, labels, id_col=key, text_col=text, label_id=label_id, positives=positives, negatives=negatives, longest=longest)
+    scorer = docs.sparkSession.sparkContext.broadcast(train(rows))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            texts = texts_of(batch.column(text_col))
+            texts = texts_of(batch.column(text))
             scores: list[float] = []
             for a, b in groups(texts, 1 << 20):
                 scores += scorer.value.score(texts[a:b])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "toxicity"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(scan, f"{schema}, toxicity double")
+    return inner.mapInArrow(scan, with_fields(inner.schema, "toxicity double")).toDF(*docs.columns, "toxicity")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
