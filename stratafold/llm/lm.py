@@ -1,8 +1,9 @@
 """Language-model scores from a log-frequency Bloom filter of quantised n-gram counts.
 
 Counting.  Each task counts the hashes of the tokens and token pairs of its training texts and passes them on by hash range in
-arrays; a range is then summed in one task.  Ranges are as many as keep each of bounded size, and counts of frequent n-grams arrive
-once a task, so no range is hot.
+arrays; a range is then summed in one task, which holds one range at a time.  There are as many ranges as keep each of bounded size, RANGE_BYTES / 4 of text,
+up to MOST_RANGES (that is 2 TB; beyond, a range grows with the corpus: at 100 TB it stands for 100 MB of text).  Counts of frequent n-grams arrive once a
+task, so no range is hot.
 
 Model.  A pair's count c is kept as its level 1 + floor(log2 c): the filter holds the pair under each level up to that, and a reader
 probes levels 1, 2, ... until one misses; the last hit gives the count back as the middle of its range.  A wrong answer can only
@@ -21,7 +22,8 @@ Beyond that, the distinct n-grams of each chunk of texts go to their hash range'
 chunk.  Both ways give the same scores.
 
 Edge cases: a null text counts as empty, and an empty text is its end mark; rows with a null id train, as crc32 is null and so not 2 for them;
-without training rows every probability is 1; repeated rows count and are scored each.
+without training rows every probability is 1; repeated rows count and are scored each; columns besides those named are passed by, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import input_bytes, sliced, stored, texts_of
+from ._spark import input_bytes, sliced, stored, texts_of, unnamed, with_fields
 from ._text import NONSPACE, Words, groups, mix64
 
 _U = np.uint64
@@ -47,6 +49,8 @@ LEVELS = 63
 MAX_BYTES = 64 << 20
 #: Bytes of text a range of hashes stands for, and n-grams counted in a task before they are passed on.
 RANGE_BYTES, FLUSH = 8 << 20, 1 << 21
+#: Most ranges, and most tasks among which they are dealt.
+MOST_RANGES, MOST_TASKS = 1 << 20, 1 << 16
 #: Bytes of text that ask for their n-grams together where those are not broadcast.
 CHUNK_BYTES = 8 << 20
 STRENGTH = 5.0
@@ -158,7 +162,7 @@ def count_grams(docs: DataFrame, text_col: str, ranges: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([r], pa.int32()), pa.array([len(k0)], pa.int64()), pa.array([int(c0.sum())], pa.int64()), *(pa.array([x], pa.binary()) for x in data)], names=["kind", "range", "distinct", "total", "keys", "counts"])
 
     parts = docs.select(text_col).mapInArrow(part, "kind int, range int, keys binary, counts binary")
-    parts = parts.repartition(ranges, "kind", "range").sortWithinPartitions("kind", "range")
+    parts = parts.repartition(min(ranges, MOST_TASKS), "kind", "range").sortWithinPartitions("kind", "range")
     return parts.mapInArrow(total, "kind int, range int, distinct bigint, total bigint, keys binary, counts binary")
 
 
@@ -276,11 +280,7 @@ def _chunked(docs: DataFrame, text_col: str) -> DataFrame:
                 size += more
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(of)], names=[*keep, "_chunk"])
 
-    return stored(docs.mapInArrow(number, f"{_schema(docs)}, _chunk bigint"), "chunked")
-
-
-def _schema(docs: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return stored(docs.mapInArrow(number, with_fields(docs.schema, "_chunk bigint")), "chunked")
 
 
 def _answers(chunked: DataFrame, text_col: str, tables: DataFrame, ranges: int, kinds: tuple[int, ...]) -> DataFrame:
@@ -333,7 +333,7 @@ def _answers(chunked: DataFrame, text_col: str, tables: DataFrame, ranges: int,
 
     asked = chunked.select(text_col, "_chunk").mapInArrow(ask, "kind int, range int, _chunk bigint, keys binary").withColumn("counts", F.lit(None).cast("binary"))
     held = tables.filter(F.col("kind").isin(*kinds)).select("kind", "range", F.lit(-1).cast("bigint").alias("_chunk"), "keys", "counts")
-    both = held.unionByName(asked).repartition(ranges, "kind", "range").sortWithinPartitions("kind", "range", "_chunk")
+    both = held.unionByName(asked).repartition(min(ranges, MOST_TASKS), "kind", "range").sortWithinPartitions("kind", "range", "_chunk")
     return both.mapInArrow(answer, "_chunk bigint, kind int, keys binary, values binary")
 
 
@@ -342,13 +342,15 @@ def score_texts(docs: DataFrame, *, text_col: str = "text", train: Column | None
     those names.  `train` picks the rows to learn from; all of them if it is None.
     """
     added = ("n_tokens", "n_known", "train_tokens", "base_score", "lm_score")
-    docs = docs.drop(*added)
+    given = docs.drop(*added)
+    learnt = docs.filter(train) if train is not None else docs
+    docs, learnt, text_col = unnamed(given), unnamed(learnt.drop(*added)), f"_in{given.columns.index(text_col)}"
     sc = docs.sparkSession.sparkContext
     size = input_bytes(docs)
     if size > 1 << 50:  # the optimiser doesn't know
         size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    ranges = 1 << max(0, (max(1, min(1 << 16, 4 * size // RANGE_BYTES)) - 1).bit_length())
-    tables = stored(count_grams(docs.filter(train) if train is not None else docs, text_col, ranges), "grams")
+    ranges = 1 << max(0, (max(1, min(MOST_RANGES, 4 * size // RANGE_BYTES)) - 1).bit_length())
+    tables = stored(count_grams(learnt, text_col, ranges), "grams")
     words = tables.filter("kind = 1").select("range", "keys", "counts")
     v, n = tables.filter("kind = 1").agg(F.coalesce(F.sum("distinct"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
     scorer = Scorer(n, v, strength)
@@ -408,12 +410,13 @@ def score_texts(docs: DataFrame, *, text_col: str = "text", train: Column | None
             tables[kind] = keys[order], np.frombuffer(b"".join(x for _, x in given[kind]), type_)[order]
         return pa.Table.from_batches([scored(batch, tables) for batch in sliced(iter(texts.to_batches()))])
 
-    schema = f"{_schema(docs)}, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, lm_score double"
+    schema = with_fields(docs.schema, "n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, lm_score double")
+    names = [*given.columns, *added]
     if small and light:
-        return docs.mapInArrow(scan, schema)
+        return docs.mapInArrow(scan, schema).toDF(*names)
     chunked = _chunked(docs, text_col)
     answers = _answers(chunked, text_col, tables, ranges, tuple(kind for kind, here in ((1, small), (2, light)) if not here))
-    return chunked.groupBy("_chunk").cogroup(answers.groupBy("_chunk")).applyInArrow(scan_chunk, schema)
+    return chunked.groupBy("_chunk").cogroup(answers.groupBy("_chunk")).applyInArrow(scan_chunk, schema).toDF(*names)
 
 
 def _over(row) -> Iterator[tuple[int, int]]:

@@ -86,6 +86,29 @@ def test_filter_grows_with_its_pairs_and_both_ways_score_alike(spark, monkeypatc
     assert np.mean([r.lm_score < r.base_score for r in far.values()]) > 0.9
 
 
+def test_scores_are_those_of_exact_quantised_counts(spark, monkeypatch):
+    """With a filter that has room enough to hold no false hit, scores are those of the pairs' own counts, in whichever way they are looked up."""
+    monkeypatch.setattr(lm, "BITS_EACH", 4000)
+    rows = [(i, t, "z", "y") for i, t in enumerate(TEXTS * 3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, _chunk string, _row string").repartition(2)
+    every = [tokens(t) for _, t, *_ in rows]
+    one, two = Counter(t for ts in every for t in ts), Counter(p for ts in every for p in zip(["", *ts], ts))
+    n, v = sum(one.values()), len(one)
+
+    def exact(ts):
+        total = 0.0
+        for before, t in zip(["", *ts], ts):
+            level = two[before, t].bit_length()
+            e = min(1.5 * 2 ** (level - 1) - 0.5, one[before]) if level else 0.0
+            total += math.log10(min(1.0, (e + lm.STRENGTH * (one[t] + 1) / (n + v + 1)) / (one[before] + lm.STRENGTH)))
+        return total
+
+    for max_bytes in (lm.MAX_BYTES, 0):
+        got = lm.score_texts(docs, max_bytes=max_bytes).collect()
+        assert len(got) == len(rows) and all(r._chunk == "z" and r._row == "y" for r in got)
+        assert all(math.isclose(r.lm_score, exact(tokens(r.text)), rel_tol=1e-9, abs_tol=1e-12) for r in got)
+
+
 def test_levels_run_to_the_largest_count():
     import numpy as np
 
