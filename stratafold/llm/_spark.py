@@ -50,11 +50,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.__dict__["_table"] = path
     if (made := _scratch.get()) is not None:
         made[id(out)] = out, path
     return out
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the table of a frame that stored() gave, once nothing reads it any more; other frames are left alone."""
+    if (path := df.__dict__.pop("_table", None)) is not None:
+        drop(path, df.sparkSession)
+
+
 @contextmanager
 def scratch() -> Iterator[Callable[..., None]]:
     """Tables that are stored within go at its end, but for those given to the function it yields; these belong to the scratch() around it."""
