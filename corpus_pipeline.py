@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from stratafold.llm import decontam, langid, neardup, packing, toxicity
-from stratafold.llm._spark import stored
+from stratafold.llm._spark import discard, scratch, stored
 
 
 def recognised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +26,7 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that don't hold benchmark passages."""
+    """Documents that hold no benchmark passage."""
     return decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -44,5 +44,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        with scratch() as keep:  # what a stage has written for itself goes with it
+            out = stored(stage(spark, docs, sf_dir), name)
+            keep(out)
+        discard(docs)
+        docs = out
     return docs
