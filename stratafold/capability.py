@@ -11,12 +11,16 @@ import hashlib
 import hmac
 import json
 import re
+import secrets
 import time
+from collections import OrderedDict
 from dataclasses import dataclass
 
 from .errors import AccessDenied, InvalidStatement
 
 SKEW, LONGEST_CHAIN = 60, 8
+#: Requests that a gate remembers.
+REMEMBERED = 200_000
 DEFAULT_SECONDS, MOST_SECONDS = 24 * 3600, 366 * 24 * 3600
 _UNITS = {"s": 1, "sec": 1, "secs": 1, "second": 1, "seconds": 1, "m": 60, "min": 60, "mins": 60, "minute": 60, "minutes": 60, "h": 3600, "hour": 3600, "hours": 3600, "d": 86400, "day": 86400, "days": 86400}
 ABILITIES = ("space/query", "space/read", "space/*")
@@ -104,3 +108,44 @@ def verify(token: str, audience: str, keys: dict[str, bytes], revoked: set[str]
         if not body["prf"]:
             return claims | {"root": body["iss"], "first": body["aud"]}
         child, at = body, body["prf"]
+
+
+# Requests
+
+
+def sign_request(identity: Identity, method: str, payload: bytes, token: str, now: float | None = None) -> dict[str, str]:
+    """What a caller sends beside a request: who it is, its token, when, a number used once, and a signature over all of it and the payload."""
+    fields = {"did": identity.did, "token": token, "at": f"{now if now is not None else time.time():.3f}", "once": secrets.token_hex(12)}
+    return fields | {"signature": identity.sign(_request(method, payload, fields))}
+
+
+def _request(method: str, payload: bytes, fields: dict[str, str]) -> bytes:
+    return "\n".join([method, hashlib.sha256(payload).hexdigest(), *(fields[k] for k in ("did", "at", "once")), token_id(fields["token"])]).encode()
+
+
+class Gate:
+    """Lets a signed request pass once. It remembers requests for as long as their time would hold, and `most` of them at least."""
+
+    def __init__(self, most: int = REMEMBERED) -> None:
+        self.most = most
+        self.seen: OrderedDict[tuple[str, str], float] = OrderedDict()
+
+    def check(self, method: str, payload: bytes, fields: dict[str, str], keys: dict[str, bytes], revoked: set[str] = frozenset(), now: float | None = None) -> dict:
+        """The claims of the request's token; an error unless the caller signed just this, lately, and for the first time."""
+        now = now if now is not None else time.time()
+        try:
+            key, at, once = keys.get(fields["did"]), float(fields["at"]), (fields["did"], fields["once"])
+            signed = key is not None and hmac.compare_digest(Identity(key).sign(_request(method, payload, fields)), fields["signature"])
+        except (KeyError, ValueError) as e:
+            raise AccessDenied("the request is not signed") from e
+        if not signed:
+            raise AccessDenied("the request's signature does not hold")
+        if not abs(now - at) <= SKEW:
+            raise AccessDenied("the request is not of now")
+        if once in self.seen:
+            raise AccessDenied("the request was made before")
+        claims = verify(fields["token"], fields["did"], keys, revoked, now)
+        self.seen[once] = at
+        while len(self.seen) > self.most and next(iter(self.seen.values())) < now - 2 * SKEW:
+            self.seen.popitem(last=False)
+        return claims

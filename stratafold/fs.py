@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import uuid
 
 from pyspark.sql import SparkSession
@@ -38,10 +39,15 @@ class FileSystem:
             stream.close()
 
     def write(self, path: str, text: str, overwrite: bool = False) -> bool:
-        """Write a file whole: at a name of its own first, then renamed. False if the file is there and `overwrite` isn't set."""
+        """Write a file whole, in one step that readers see. False if the name is taken and `overwrite` isn't set: of several writers, one succeeds.
+
+        The text goes to a name of its own first. On a local disk a link to it is made under the name, elsewhere it is renamed by a call that
+        doesn't replace files; both are one step in which the file system itself refuses a name that is taken. Object stores whose
+        renames are copies don't, and need a single writer.
+        """
         fs, p = self._at(path)
-        if not overwrite and fs.exists(p):
-            return False
+        if fs.getScheme() == "file":
+            return _write_local(p.toUri().getPath(), text.encode(), overwrite)
         fs.mkdirs(p.getParent())
         aside = self._jvm.org.apache.hadoop.fs.Path(p.getParent(), f".{p.getName()}.{uuid.uuid4().hex}")
         stream = fs.create(aside, True)
@@ -49,19 +55,22 @@ class FileSystem:
             stream.write(text.encode())
         finally:
             stream.close()
-        if overwrite:
-            fs.delete(p, False)
-            return fs.rename(aside, p)
-        # A create without overwriting is the one step of which only one writer can succeed.
+        return self._put(aside, p, overwrite)
+
+    def _put(self, aside, p, overwrite: bool) -> bool:
+        """Rename a file to its place."""
+        rename = self._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename").getEnumConstants()
+        chosen = [x for x in rename if x.name() == ("OVERWRITE" if overwrite else "NONE")]
+        options = self._jvm.java.lang.reflect.Array.newInstance(chosen[0].getClass(), 1)
+        options[0] = chosen[0]
         try:
-            fs.create(p, False).close()
+            self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), self._conf).rename(aside, p, options)
         except Exception as e:  # noqa: BLE001  py4j wraps it
-            fs.delete(aside, False)
+            p.getFileSystem(self._conf).delete(aside, False)
             if "FileAlreadyExists" in str(e):
                 return False
             raise
-        fs.delete(p, False)
-        return fs.rename(aside, p)
+        return True
 
     def delete(self, path: str) -> None:
         fs, p = self._at(path)
@@ -78,3 +87,24 @@ class FileSystem:
 
     def read_json(self, path: str):
         return json.loads(self.read(path))
+
+
+def _write_local(path: str, data: bytes, overwrite: bool) -> bool:
+    folder, name = os.path.split(path)
+    os.makedirs(folder, exist_ok=True)
+    aside = os.path.join(folder, f".{name}.{uuid.uuid4().hex}")
+    with open(aside, "wb") as f:
+        f.write(data)
+        f.flush()
+        os.fsync(f.fileno())
+    try:
+        if overwrite:
+            os.replace(aside, path)
+        else:
+            os.link(aside, path)
+    except FileExistsError:
+        return False
+    finally:
+        if os.path.exists(aside):
+            os.unlink(aside)
+    return True

@@ -1,10 +1,7 @@
-"""Words of texts for full-text search, plain or stemmed."""
+"""Words of texts for full-text search."""
 
 from __future__ import annotations
 
-from functools import lru_cache
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,89 +12,3 @@ SEPARATOR = r"[^\p{L}\p{N}]+"
 def words(text: Column) -> Column:
     """The lower-cased words of a text."""
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATOR), lambda w: w != "")
-
-
-def _consonant(w: str, i: int) -> bool:
-    if w[i] in "aeiou":
-        return False
-    return w[i] != "y" or i == 0 or not _consonant(w, i - 1)
-
-
-def _measure(w: str) -> int:
-    """Runs of vowels that consonants follow."""
-    kinds = "".join("c" if _consonant(w, i) else "v" for i in range(len(w)))
-    return sum(1 for a, b in zip(kinds, kinds[1:], strict=False) if a == "v" and b == "c")
-
-
-def _has_vowel(w: str) -> bool:
-    return any(not _consonant(w, i) for i in range(len(w)))
-
-
-def _ends_cvc(w: str) -> bool:
-    return len(w) >= 3 and _consonant(w, len(w) - 1) and not _consonant(w, len(w) - 2) and _consonant(w, len(w) - 3) and w[-1] not in "wxy"
-
-
-# The suffix tables of Porter's published algorithm (1980).
-_STEP2 = (("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("abli", "able"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"),
-          ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"))
-_STEP3 = (("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", ""))
-_STEP4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ou", "ism", "ate", "iti", "ous", "ive", "ize")
-
-
-def _by_table(w: str, table) -> str:
-    for suffix, new in sorted(table, key=lambda x: -len(x[0])):
-        if w.endswith(suffix):
-            stem = w[: -len(suffix)]
-            return stem + new if _measure(stem) > 0 else w
-    return w
-
-
-@lru_cache(maxsize=1 << 16)
-def stem(w: str) -> str:
-    """Porter's stem of a lower-case word; words that aren't plain ASCII letters stay."""
-    if len(w) <= 2 or not (w.isascii() and w.isalpha()):
-        return w
-    if w.endswith("sses") or w.endswith("ies"):
-        w = w[:-2]
-    elif w.endswith("s") and not w.endswith("ss"):
-        w = w[:-1]
-    if w.endswith("eed"):
-        if _measure(w[:-3]) > 0:
-            w = w[:-1]
-    else:
-        for suffix in ("ed", "ing"):
-            if w.endswith(suffix) and _has_vowel(w[: -len(suffix)]):
-                w = w[: -len(suffix)]
-                if w.endswith(("at", "bl", "iz")):
-                    w += "e"
-                elif len(w) > 1 and w[-1] == w[-2] and _consonant(w, len(w) - 1) and w[-1] not in "lsz":
-                    w = w[:-1]
-                elif _measure(w) == 1 and _ends_cvc(w):
-                    w += "e"
-                break
-    if w.endswith("y") and _has_vowel(w[:-1]):
-        w = w[:-1] + "i"
-    w = _by_table(_by_table(w, _STEP2), _STEP3)
-    for suffix in sorted((*_STEP4, "ion"), key=len, reverse=True):
-        if w.endswith(suffix):
-            base = w[: -len(suffix)]
-            if _measure(base) > 1 and (suffix != "ion" or base.endswith(("s", "t"))):
-                w = base
-            break
-    if w.endswith("e"):
-        base = w[:-1]
-        if _measure(base) > 1 or (_measure(base) == 1 and not _ends_cvc(base)):
-            w = base
-    if w.endswith("ll") and _measure(w) > 1:
-        w = w[:-1]
-    return w
-
-
-def stems(found: Column) -> Column:
-    """Stems of an array of words. Spark has none, so this goes through Arrow."""
-
-    @F.pandas_udf("array<string>")
-    def of(column: pd.Series) -> pd.Series:
-        return column.map(lambda ws: [stem(w) for w in ws])
-
-    return of(found)

@@ -8,8 +8,8 @@ from dataclasses import dataclass, field
 from .errors import InvalidProperty, NotFound
 
 ANALYTICAL, TRANSACTIONAL, REMOTE = "analytical", "transactional", "remote"
-#: Snapshot tables of Parquet files; tables with row changes by version; an embedded row-store file; another root; a copy of one.
-SNAPSHOTS, VERSIONED, ROWSTORE, PEER, REPLICA = "snapshots", "versioned", "rowstore", "peer", "replica"
+#: Snapshot tables of Parquet files; tables with row changes by version; an embedded row-store file; another root; a copy of one; frames of this process.
+SNAPSHOTS, VERSIONED, ROWSTORE, PEER, REPLICA, MEMORY = "snapshots", "versioned", "rowstore", "peer", "replica", "memory"
 #: Names that statements may use for formats and engines. Queries always run in Spark.
 FORMATS = {"iceberg": SNAPSHOTS, "parquet": SNAPSHOTS, "snapshots": SNAPSHOTS, "lance": VERSIONED, "versioned": VERSIONED}
 ENGINES = {"duckdb": "columnar", "columnar": "columnar", "sqlite": "row", "row": "row"}

@@ -1,7 +1,8 @@
 """Property-graph queries: definitions, the MATCH patterns of GRAPH_TABLE, and their plans.
 
 A pattern is a vertex, or vertices and edges in a row (`(a:L WHERE ..)-[k:E]->(b:L)`, also `<-[..]-`), each edge a join; or
-`p = ANY SHORTEST (a)-[k:E]->+(b)`, found by levels from all sources at once.
+`p = ANY SHORTEST (a)-[k:E]->+(b)`, found by levels from all sources at once until a level finds nothing new; with `->*`, a vertex reaches
+itself over no edge.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,10 +19,6 @@ from ..errors import InvalidStatement, NotFound
 from ..model import EdgeTable, Graph, VertexTable
 from ..plans.lexer import Cursor, split_top
 
-#: Levels after which a search for shortest paths ends, as longer than any path without a circle it could still find.
-MOST_LEVELS = 10_000
-
-
 def parse_create(text: str) -> tuple[str | None, Graph, bool, bool]:
     """Space, graph, whether to replace, whether to keep one that exists."""
     c = Cursor(text, "CREATE PROPERTY GRAPH")
@@ -80,6 +78,7 @@ class Element:
     edge: bool = False
     backward: bool = False
     repeated: bool = False
+    zero: bool = False  #: repeated no time, too
 
 
 @dataclass
@@ -116,7 +115,8 @@ def parse_match(text: str) -> Match:
         else:
             c.expect("->")
         e = _element(inner, f"e{len(elements)}")
-        e.edge, e.backward, e.repeated = True, backward, c.eat("+") or c.eat("*")
+        e.edge, e.backward, e.zero = True, backward, c.eat("*")
+        e.repeated = e.zero or c.eat("+")
         elements += [e, _element(c.bracket(), f"v{len(elements) + 1}")]
     c.expect("COLUMNS")
     columns = []
@@ -187,7 +187,7 @@ class GraphPlan:
         return rows.join(vertices, F.col(f"{e.variable}__{to_key}") == F.col(f"{b.variable}__{to_ref}"))
 
     def _shortest(self, m: Match) -> DataFrame:
-        """Pairs of vertices with the number of edges of a shortest path between them, one or more."""
+        """Pairs of vertices with the number of edges of a shortest path between them: one or more, or none where the pattern says so."""
         a, e, b = m.elements
         x = self._edge(e)
         sources, source_key = self._vertices(a)
@@ -198,20 +198,21 @@ class GraphPlan:
             edges = edges.select(*(F.col(c).alias(f"{e.variable}__{c}") for c in edges.columns)).filter(_renamed(e.where, [e.variable]))
             keys = tuple(f"{e.variable}__{k}" for k in keys)
         steps = edges.select(F.col(keys[0]).alias("_u"), F.col(keys[1]).alias("_v")).distinct().checkpoint()
-        seen = None
         front = sources.select(F.col(source_key).alias("_s")).distinct().withColumn("_u", F.col("_s"))
-        for level in range(1, MOST_LEVELS):
+        # A level is written once, and read by those after it.
+        levels = [front.select("_s", F.col("_u").alias("_t"), F.lit(0).alias("_hops"))] if e.zero else []
+        hops = 0
+        while True:
+            hops += 1
             front = front.join(steps, "_u").select("_s", F.col("_v").alias("_u")).distinct()
-            if seen is not None:
+            for seen in levels:
                 front = front.join(seen.select("_s", F.col("_t").alias("_u")), ["_s", "_u"], "left_anti")
             front = front.checkpoint()
+            levels.append(front.select("_s", F.col("_u").alias("_t"), F.lit(hops).alias("_hops")))
             if front.isEmpty():
                 break
-            found = front.select("_s", F.col("_u").alias("_t"), F.lit(level).alias("_hops"))
-            seen = found if seen is None else seen.unionAll(found).checkpoint()
-        if seen is None:
-            seen = front.select("_s", F.col("_u").alias("_t"), F.lit(0).alias("_hops"))
-        return seen.join(sources, F.col("_s") == F.col(source_key)).join(targets, F.col("_t") == F.col(target_key))
+        found = reduce(DataFrame.unionAll, levels)
+        return found.join(sources, F.col("_s") == F.col(source_key)).join(targets, F.col("_t") == F.col(target_key))
 
 
 def _renamed(text: str, variables: list[str], path: str | None = None) -> str:

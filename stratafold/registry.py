@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import time
-from dataclasses import asdict
+from dataclasses import asdict, replace
 
 from .errors import AlreadyExists, EngineError, NotFound
 from .fs import FileSystem
@@ -29,6 +29,8 @@ class Registry:
         self.tokens: dict[str, dict] = {}
         self.peers: dict[str, dict] = {}
         self._seen: str | None = None
+        #: Spaces of this process alone, which are not written down.
+        self.held: dict[str, tuple[Space, Location]] = {}
         self.refresh()
 
     @property
@@ -48,6 +50,8 @@ class Registry:
         self._seen = text
         self.spaces = {s["name"]: Space(**s) for s in data["spaces"]}
         self.locations = {x["id"]: Location(**x) for x in data["locations"]}
+        for space, location in self.held.values():
+            self.spaces[space.name], self.locations[location.id] = space, location
         self.views = {(v["space"], v["name"]): View(**v) for v in data["views"]}
         self.grants = {(g["principal"], g["space"], g["relation"]): Grant(**g) for g in data["grants"]}
         self.policies = {(p["space"], p["relation"], p["name"]): Policy(**p) for p in data["policies"]}
@@ -60,7 +64,8 @@ class Registry:
         if not self.path:
             return
         kinds = ("spaces", "locations", "views", "grants", "policies", "graphs", "virtual", "indexes")
-        data = {"version": VERSION} | {k: [asdict(x) for x in getattr(self, k).values()] for k in kinds} | {"tokens": self.tokens, "peers": self.peers}
+        own = {x.name for x, _ in self.held.values()} | {x.id for _, x in self.held.values()}
+        data = {"version": VERSION} | {k: [asdict(x) for x in getattr(self, k).values() if not {getattr(x, "id", None), x.name if k == "spaces" else None} & own] for k in kinds} | {"tokens": self.tokens, "peers": self.peers}
         self._seen = json.dumps(data, indent=1)
         self.fs.write(self.path, self._seen, overwrite=True)
 
@@ -89,15 +94,24 @@ class Registry:
         self.save()
         return space
 
+    def hold(self, space: Space, location: Location) -> Space:
+        """Add a space for this process alone."""
+        if space.name in self.spaces:
+            raise AlreadyExists("Space", space.name)
+        self.held[space.name] = space, location
+        self.spaces[space.name], self.locations[location.id] = space, location
+        return space
+
     def drop_space(self, name: str) -> Location:
         """Forget a space and all that is registered on it. Its data and location stay, but for locations of peers."""
         space = self.space(name)
         location = self.locations[space.location]
         if location.writer == name:
             location.writer = None
-        if location.format in ("peer", "replica"):
+        if location.format in ("peer", "replica", "memory"):
             del self.locations[location.id]
         del self.spaces[name]
+        self.held.pop(name, None)
         for kind in ("views", "grants", "policies", "graphs", "virtual", "indexes"):
             setattr(self, kind, {k: x for k, x in getattr(self, kind).items() if x.space != name})
         self.save()
@@ -110,6 +124,13 @@ class Registry:
         self.indexes = {k: i for k, i in self.indexes.items() if (i.space, i.table) != (space, name)}
         self.save()
 
+    def rename_relation(self, space: str, name: str, to: str) -> None:
+        """Grants, policies and indexes of a relation under its new name."""
+        self.grants = {(p, s, to if (s, r) == (space, name) else r): replace(g, relation=to) if (s, r) == (space, name) else g for (p, s, r), g in self.grants.items()}
+        self.policies = {(s, to if (s, r) == (space, name) else r, n): replace(p, relation=to) if (s, r) == (space, name) else p for (s, r, n), p in self.policies.items()}
+        self.indexes = {(s, to if (s, t) == (space, name) else t, n): replace(i, table=to) if (s, t) == (space, name) else i for (s, t, n), i in self.indexes.items()}
+        self.save()
+
     def grant_of(self, principal: str, space: str, relation: str) -> Grant | None:
         return self.grants.get((principal, space, relation))
 
