@@ -1,11 +1,12 @@
-"""Small parts: the lexer, dialect, tokens, stems and joins."""
+"""Small parts: the lexer, dialect, tokens and joins."""
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from stratafold import capability
 from stratafold.errors import AccessDenied, InvalidStatement
-from stratafold.functions.text import stem
 from stratafold.operators.joins import asof_join, range_join
 from stratafold.plans.dialect import from_first, to_spark
 from stratafold.plans.lexer import split_script
@@ -32,11 +33,6 @@ def test_affinity():
         convert("x", "bigint")
 
 
-def test_stems():
-    words = {"apples": "appl", "caresses": "caress", "ponies": "poni", "relational": "relat", "hopping": "hop", "agreed": "agre", "happy": "happi", "motoring": "motor", "formalize": "formal", "adoption": "adopt", "rate": "rate", "controll": "control"}
-    assert {w: stem(w) for w in words} == words
-
-
 def test_tokens():
     a, b, c = (capability.Identity(k * 32) for k in (b"a", b"b", b"c"))
     keys = {i.did: i.key for i in (a, b, c)}
@@ -55,11 +51,30 @@ def test_tokens():
             capability.duration(bad)
 
 
-def test_asof_and_range_joins(spark):
-    left = spark.createDataFrame([("a", 5, 1), ("a", 1, 2), ("b", 9, 3), (None, 9, 4), ("a", None, 5)], "k string, t int, id int")
-    right = spark.createDataFrame([("a", 2, "x"), ("a", 5, "y"), ("b", 10, "z"), (None, 1, "n")], "k string, t int, v string")
-    assert {r.id: r.r_v for r in asof_join(left, right, ["k"], "t").collect()} == {1: "y", 2: None, 3: None, 4: None, 5: None}
-    points = spark.createDataFrame([(i,) for i in range(-3, 20)], "p int")
-    spans = spark.createDataFrame([(0, 3), (5, 4), (-2, 15)], "lo int, hi int")
-    got = {(r.p, r.lo) for r in range_join(points, spans, "p", "lo", "hi", 4).collect()}
-    assert got == {(p, lo) for p in range(-3, 20) for lo, hi in ((0, 3), (5, 4), (-2, 15)) if lo <= p <= hi}
+@pytest.mark.parametrize("parts", [1, 4])
+def test_asof_join(spark, parts):
+    rng = random.Random(parts)
+    left = [(rng.choice(["a", "a", "a", "b", "c", None]), rng.choice([None, *range(60)]), i) for i in range(150)]
+    right = [(k, t, f"{k}{t}") for k in ("a", "b", None) for t in rng.sample(range(60), 12)] + [("b", None, "never")]
+    a, b = spark.createDataFrame(left, "k string, t int, id int"), spark.createDataFrame(right, "k string, t int, v string")
+
+    def last(t, keys):
+        found = [(x, v) for k, x, v in right if x is not None and x <= t and k in keys] if t is not None else []
+        return max(found)[1] if found else None
+
+    got = {r.id: r.r_v for r in asof_join(a, b, ["k"], "t", parts=parts).collect()}
+    assert got == {i: last(t, (k,)) if k is not None else None for k, t, i in left}
+    alone = spark.createDataFrame([(t, v) for k, t, v in right if k == "a"], "t int, v string")
+    got = {r.id: r.r_v for r in asof_join(a, alone, [], "t", parts=parts).collect()}
+    assert got == {i: last(t, ("a",)) for _, t, i in left}
+    assert asof_join(a, b.limit(0), ["k"], "t", parts=parts).filter("r_v is not null").isEmpty()
+
+
+def test_range_join(spark):
+    points = spark.createDataFrame([(i * 7,) for i in range(-300, 300)], "p int")
+    limits = [(0, 3), (5, 4), (-2, 15), (-2000, 2000), (100, 10**9), (-(10**9), -1999)]
+    spans = spark.createDataFrame(limits, "lo int, hi int")
+    joined = range_join(points, spans, "p", "lo", "hi", 4)
+    assert joined.columns == ["p", "lo", "hi"]
+    assert sorted((r.p, r.lo) for r in joined.collect()) == sorted((p * 7, lo) for p in range(-300, 300) for lo, hi in limits if lo <= p * 7 <= hi)
+    assert range_join(points, spans.limit(0), "p", "lo", "hi", 4).isEmpty()
