@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 
 #: crc32 of the id as text modulo this; documents with remainder 0 are held out of training.
 FOLDS = 5
+#: Most bytes of a batch of rows on their way to Python.
+BATCH_BYTES = 4 << 20
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -115,6 +117,14 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.R
         trim(0)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Have Arrow batches of BATCH_BYTES at most in this session, so that a task holds a few MB of texts on either side, and not 64."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(-?\d+)b?", spark.conf.get(key, "-1"))
+    if now is None or not 0 < int(now[1]) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def input_bytes(df: DataFrame) -> int:
     """The optimiser's estimate of the size of `df`; from file sizes for tables that are read from files."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._bits import is_marked, marked
-from ._spark import kept, sliced, stored, texts_of, unnamed, with_fields
+from ._spark import bound_batches, kept, sliced, stored, texts_of, unnamed, with_fields
 from ._text import ALNUM, Words, gram_hashes, groups, mix64
 
 WINDOW = 13
@@ -154,6 +154,7 @@ def find_overlaps(docs: DataFrame, items: DataFrame, *, text_col: str = "text",
     Columns of those names in `docs` are replaced.
     """
     docs = docs.drop("n_words", "spans", "item_ids")
+    bound_batches(docs.sparkSession)
     inner, text = unnamed(docs), f"_in{docs.columns.index(text_col)}"
     rows = items.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).filter("t is not null")
     size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import sliced, stored, unnamed, with_fields
+from ._spark import bound_batches, sliced, stored, unnamed, with_fields
 
 #: Most bytes of winning paths that are broadcast.
 BROADCAST_BYTES = 16 << 20
@@ -277,6 +277,7 @@ def vote(pages: DataFrame, host_col: str, html_col: str) -> DataFrame:
 def extract(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """The pages with all their columns but the html, and main_text, in place of a column of that name."""
     pages = pages.drop("main_text")
+    bound_batches(pages.sparkSession)
     inner = unnamed(pages)
     url, html = (f"_in{pages.columns.index(c)}" for c in (url_col, html_col))
     hosted = inner.withColumn("_host", host(F.col(url)))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import fold, kept, sliced, texts_of, unnamed, with_fields
+from ._spark import bound_batches, fold, kept, sliced, texts_of, unnamed, with_fields
 from ._text import groups
 
 FEATURES = 1 << 13
@@ -177,6 +177,7 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """The documents with all their columns and lang_pred, lang_score and lang_rejected, in place of columns of those names."""
     added = ("lang_pred", "lang_score", "lang_rejected")
     spark, docs = docs.sparkSession, docs.drop(*added)
+    bound_batches(spark)
     inner = unnamed(docs)
     key, text, lang = (f"_in{docs.columns.index(c)}" for c in (id_col, text_col, lang_col))
     model = spark.sparkContext.broadcast(fit(training_rows(inner, id_col=key, text_col=text, lang_col=lang, per_language=per_language, texts=texts, languages=languages, longest=longest)))

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import input_bytes, sliced, stored, texts_of, unnamed, with_fields
+from ._spark import bound_batches, input_bytes, sliced, stored, texts_of, unnamed, with_fields
 from ._text import NONSPACE, Words, groups, mix64
 
 _U = np.uint64
@@ -343,6 +343,7 @@ def score_texts(docs: DataFrame, *, text_col: str = "text", train: Column | None
     """
     added = ("n_tokens", "n_known", "train_tokens", "base_score", "lm_score")
     given = docs.drop(*added)
+    bound_batches(docs.sparkSession)
     learnt = docs.filter(train) if train is not None else docs
     docs, learnt, text_col = unnamed(given), unnamed(learnt.drop(*added)), f"_in{given.columns.index(text_col)}"
     sc = docs.sparkSession.sparkContext

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._bits import is_marked, marked
-from ._spark import scratch, sliced, stored, texts_of, unnamed, with_fields
+from ._spark import bound_batches, scratch, sliced, stored, texts_of, unnamed, with_fields
 from ._text import NONSPACE, Words, gram_hashes, groups, mix64
 
 SHINGLE, PERCENT = 4, 80
@@ -206,6 +206,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 def _decided(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
     """id, n, node, key2, component_id and kept of each row."""
+    bound_batches(docs.sparkSession)
     with scratch() as keep:
         rows = stored(_signatures(docs, id_col, text_col, shingle), "rows")
         real = rows.filter((F.col("n") > 0) & F.col("id").isNotNull())

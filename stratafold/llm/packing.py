@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ._spark import sliced, stored, texts_of, with_fields
+from ._spark import bound_batches, sliced, stored, texts_of, with_fields
 from ._text import groups
 
 CAPACITY, END_ID = 4096, 1
@@ -117,6 +117,7 @@ OWN = ("piece", "start", "length", "ids_crc32", "task", "rank", "sequence_id", "
 
 def pieces(docs: DataFrame, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Columns `keep`, but for those named as ours, and piece, start, length, ids_crc32, and the task and rank that number pieces of a length."""
+    bound_batches(docs.sparkSession)
     tokenizer = tokenizer or public_tokenizers.path("word_bpe_49k.json")
     keep = tuple(c for c in keep if c.lower() not in OWN)
     inner = [f"_in{i}" for i in range(len(keep))]

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import fold, kept, sliced, texts_of, unnamed, with_fields
+from ._spark import bound_batches, fold, kept, sliced, texts_of, unnamed, with_fields
 from ._text import ALNUM, Words, groups
 
 WORD_ROWS, GRAM_ROWS = 1 << 13, 1 << 14
@@ -39,7 +39,7 @@ EPOCHS, BATCH, RATE = 6, 64, 0.02
 #: Most windows scored at once.
 CHUNK = 2048
 #: Most words whose input products are kept: 200 bytes each.
-KEPT = 200_000
+KEPT = 100_000
 
 
 class Inputs:
@@ -355,6 +355,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col:
 def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", positives: int = POSITIVES, negatives: int = NEGATIVES, longest: int = LONGEST) -> DataFrame:
     """The documents with all their columns and `toxicity`, in place of a column of that name."""
     docs = docs.drop("toxicity")
+    bound_batches(docs.sparkSession)
     inner = unnamed(docs)
     key, text = (f"_in{docs.columns.index(c)}" for c in (id_col, text_col))
     rows = training_rows(inner, labels, id_col=key, text_col=text, label_id=label_id, positives=positives, negatives=negatives, longest=longest)

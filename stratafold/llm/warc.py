@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import new_path, scratch, stored
+from ._spark import bound_batches, new_path, scratch, stored
 
 MAGIC = "WARC/1.1\r\n"
 #: What version lines begin with; the rest of them stands at the start of a piece.
@@ -198,6 +198,7 @@ def _scan(window: int):
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """The archives under `path`, cut at SPLIT; a file is read in one task."""
+    bound_batches(spark)
     lines = spark.read.option("lineSep", SPLIT).text(path)
     plain = next((f for f in lines.inputFiles() if not f.endswith(".gz")), None)
     if plain:
