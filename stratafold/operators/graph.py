@@ -205,8 +205,9 @@ class GraphPlan:
         while True:
             hops += 1
             front = front.join(steps, "_u").select("_s", F.col("_v").alias("_u")).distinct()
-            for seen in levels:
-                front = front.join(seen.select("_s", F.col("_t").alias("_u")), ["_s", "_u"], "left_anti")
+            if levels:
+                seen = reduce(DataFrame.unionAll, levels).select("_s", F.col("_t").alias("_u"))
+                front = front.join(seen, ["_s", "_u"], "left_anti")
             front = front.checkpoint()
             levels.append(front.select("_s", F.col("_u").alias("_t"), F.lit(hops).alias("_hops")))
             if front.isEmpty():
