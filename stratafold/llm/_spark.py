@@ -120,8 +120,8 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.R
 def bound_batches(spark: SparkSession) -> None:
     """Have Arrow batches of BATCH_BYTES at most in this session, so that a task holds a few MB of texts on either side, and not 64."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = re.fullmatch(r"(-?\d+)b?", spark.conf.get(key, "-1"))
-    if now is None or not 0 < int(now[1]) <= BATCH_BYTES:
+    now = re.fullmatch(r"(\d+)b?", spark.conf.get(key))
+    if now is None or int(now[1]) > BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
