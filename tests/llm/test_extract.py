@@ -80,5 +80,31 @@ def test_deep_pages_take_time_and_memory_in_proportion():
     assert c < 24 * max(a, 0.05) and d < 16 * b
 
 
+def test_made_pages_give_the_text_they_were_made_of(spark):
+    """Pages whose article is known, as it was put in block by block, among parts that are none of it."""
+    import random
+
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdeéß") for _ in range(rng.randint(2, 9)))
+    said = lambda n: " ".join(word() for _ in range(n)) + rng.choice([".", "!", ""])
+    rows, want = [], {}
+    for i in range(80):
+        blocks, inside = [], []
+        for _ in range(rng.randint(1, 12)):
+            t = said(rng.randint(3, 60))
+            escaped = t.replace("é", rng.choice(["&eacute;", "&#233;", "&#xE9;", "é"]))
+            first, _, rest = escaped.partition(" ")
+            inside.append(rng.choice([f"<p>{escaped}</p>", f"<p>\n  {escaped}", f"<h2>{escaped}</h2>", f"<div><p>{first}\t <b>{rest}</b></p></div>", f"<blockquote>{escaped}</blockquote>", f"<p><a href=/x>{first}</a> {rest}<!-- {word()} --><script>{word()}</script></p>", f"<ul><li>{escaped}</li></ul>"]))
+            blocks.append(t)
+            if rng.random() < 0.3:
+                inside.append(rng.choice([f"<form>{said(5)}<button>{word()}</button></form>", f"<div class='ad-{rng.randint(1, 9)}'>{said(20)}</div>", f"<aside><p>{said(30)}</p></aside>", f"<div class='share'><a href=x>{word()}</a></div>", "<style>p{}</style>", f"<section id='comments'><p>{said(40)}</p></section>"]))
+        around = [f"<nav>{''.join(f'<a href=/{k}>{word()}</a> ' for k in range(5))}</nav>", f"<header><h1>{said(4)}</h1></header>", f"<div class='sidebar'>{said(60)}</div>", f"<div class='cookie-notice'>{said(12)}</div>"]
+        rng.shuffle(around)
+        rows.append((i, f"https://h{i % 4}.org/{i}", f"<!DOCTYPE html><html><head><title>{word()}</title></head><body>{''.join(around)}<article class='post-{i}'>{''.join(inside)}</article><footer>{said(30)}</footer></body></html>"))
+        want[i] = "\n".join(" ".join(b.split()) for b in blocks)
+    got = {r.page_id: r.main_text for r in extract.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)).collect()}
+    assert got == want
+
+
 def test_empty_table(spark):
     assert extract.extract(spark.createDataFrame([], "page_id bigint, url string, html string")).collect() == []

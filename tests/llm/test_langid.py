@@ -2,7 +2,7 @@ from __future__ import annotations
 
 from stratafold.llm import langid
 
-from .util import crc
+from .util import crc, nearest_language
 
 WORDS = {"en": "the of and with that this from have which their would there been were", "de": "der die und nicht mit einer wurde haben ist auch nach über für können", "fr": "les des une est dans pour qui sur avec être cette mais leur était"}
 
@@ -27,6 +27,16 @@ def test_held_out_rows_are_recognised(spark, tmp_path):
     assert kept.columns == docs.columns and kept.count() == len(rows) + len(odd) - 3
 
 
+def test_predictions_are_those_of_plain_loops(spark):
+    rows = [(i, text(g, i) if i % 5 else text(g, i)[: i % 23], g) for i, g in enumerate(["en", "de", "fr"] * 40)] + [(900, "Ünïcödé ÇA, 日本 \u0130STANBUL 1x2y!", None), (901, "", None), (902, None, None), (903, "?", None), (904, "xq zz jjj kk", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    sample = langid.training_rows(docs, id_col="doc_id", text_col="text", lang_col="lang", per_language=langid.PER_LANGUAGE, texts=langid.TEXTS, languages=langid.LANGUAGES, longest=langid.LONGEST)
+    model = langid.fit(sample)
+    for r in langid.identify(docs).collect():
+        lang, score, rejected = nearest_language(model, r.text, langid.FEATURES)
+        assert (r.lang_pred, r.lang_rejected) == (lang, rejected) and abs(r.lang_score - score) < 1e-4, r.text
+
+
 def test_a_language_that_was_not_learnt_is_rejected(spark):
     learnt = [(i, text(g, i), g) for i, g in enumerate(["en", "de"] * 150)]
     unknown = [(10_000 + i, text("fr", i), None) for i in range(150)]

@@ -5,7 +5,7 @@ import random
 import numpy as np
 from stratafold.llm import toxicity
 
-from .util import crc
+from .util import crc, text_score
 
 
 def test_gradients_match_differences():
@@ -74,6 +74,17 @@ def test_held_out_rows(spark, tmp_path):
     assert kept.columns == docs.columns and abs(kept.count() - (len(rows) - 151)) < 12
 
 
+def test_scores_are_those_of_plain_loops(spark):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["Baton", "domek", "gruks", "é", "x9", "lila"]) for _ in range(n)) for n in (1, 2, 7, 31, 32, 33, 40, 49, 70)] + [None, "", "!!"]
+    docs = spark.createDataFrame([(i, t, "n", 1) for i, t in enumerate(texts)], "doc_id bigint, text string, _in0 string, y int")
+    labels = spark.createDataFrame([(i, int("gruks" in (t or ""))) for i, t in enumerate(texts)], "doc_id bigint, toxic int")
+    rows = toxicity.training_rows(docs, labels, id_col="doc_id", text_col="text", label_id="doc_id", positives=toxicity.POSITIVES, negatives=toxicity.NEGATIVES, longest=toxicity.LONGEST)
+    net = toxicity.train(rows).net
+    got = toxicity.score_toxicity(docs, labels).collect()
+    assert len(got) == len(texts) and all(abs(r.toxicity - text_score(toxicity, net, r.text)) < 1e-4 and r._in0 == "n" for r in got)
+
+
 def test_without_labels(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id bigint, text string")
     none = spark.createDataFrame([], "doc_id bigint, toxic int")
