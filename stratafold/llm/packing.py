@@ -130,7 +130,7 @@ def pieces(docs: DataFrame, *, text_col: str = "text", keep: tuple[str, ...] = (
         for batch in sliced(batches, 4096):
             texts = texts_of(batch.column("_text"))
             rows = []
-            for a, b in groups(texts, 4 << 20):
+            for a, b in groups(texts, 2 << 20):
                 for i, ids in enumerate(encode(texts[a:b]), a):
                     for start in range(0, len(ids), 4 * capacity):
                         part = ids[start : start + 4 * capacity]

@@ -38,8 +38,8 @@ POSITIVES, NEGATIVES, LONGEST = 1200, 1800, 4_000
 EPOCHS, BATCH, RATE = 6, 64, 0.02
 #: Most windows scored at once.
 CHUNK = 2048
-#: Most words whose input products are kept: 200 bytes each.
-KEPT = 100_000
+#: Most words whose input products are kept, 200 bytes each, and new words that are embedded at once.
+KEPT, AT_ONCE = 80_000, 4096
 
 
 class Inputs:
@@ -244,10 +244,14 @@ class Scorer:
         rows[known] = self.rows[at[known]]
         new = np.flatnonzero(~known)
         if len(new):
-            inputs = Inputs(unique[new], [words.strings(i, i + 1)[0] for i in first[new].tolist()])
-            f, b = self.net.products(self.net.embed(inputs))
+            fs, bs = [self.xf], [self.xb]
+            for k in range(0, len(new), AT_ONCE):  # a word's n-grams take far more room than its products
+                part = new[k : k + AT_ONCE]
+                f, b = self.net.products(self.net.embed(Inputs(unique[part], [words.strings(i, i + 1)[0] for i in first[part].tolist()])))
+                fs.append(f)
+                bs.append(b)
             rows[new] = np.arange(len(self.xf), len(self.xf) + len(new))
-            self.xf, self.xb = np.concatenate([self.xf, f]), np.concatenate([self.xb, b])
+            self.xf, self.xb = np.concatenate(fs), np.concatenate(bs)
             self.keys, self.rows = np.insert(self.keys, at[new], unique[new]), np.insert(self.rows, at[new], rows[new])
         return rows[inverse]
 
